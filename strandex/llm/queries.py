@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, grouping, lookalikes, mixing, sampling, splitting
+from . import encoding, grouping, language, lookalikes, mixing, sampling, splitting
 from .common import keep, table
 
 #: Documents' tokens are counted in this vocabulary.
@@ -171,9 +171,29 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.reached_shares(p8_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+# 9. Languages
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.doubtful_labels(language.identify(table(spark, sf_dir, "documents"), "doc_id", "text", "lang"), "doc_id")
+
+
+def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's main language with its confidence (null without any whole sentence), and how many languages it holds."""
+    found = language.identify(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    main = F.get(F.filter("languages", lambda x: x["lang"] != language.UNDETERMINED), F.lit(0))
+    return found.select("doc_id", F.coalesce(main["lang"], F.lit(language.UNDETERMINED)).alias("lang"), main["confidence"].alias("confidence"), F.size("languages").cast("bigint").alias("languages"))
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", segments=True)
+    return found.select("doc_id", F.posexplode("segments").alias("segment_no", "s")).select("doc_id", F.col("segment_no").cast("bigint").alias("segment_no"), "s.start", "s.end", "s.lang", "s.confidence")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_unified": p3_unified, "p5_sample": p5_sample, "p6_found": p6_found, "p6_splits": p6_splits,
     "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
+    "p9_found": p9_found, "p9_languages": p9_languages, "p9_segments": p9_segments,
 }
 
 
