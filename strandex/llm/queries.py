@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, grouping, language, lookalikes, mixing, sampling, splitting
+from . import encoding, grouping, language, lookalikes, mixing, sampling, scanning, splitting
 from .common import keep, table
 
 #: Documents' tokens are counted in this vocabulary.
@@ -74,6 +74,21 @@ def _p3_sql() -> str:
             "FROM v a JOIN v b ON a.f = b.f AND a.k = b.k AND a.id < b.id AND a.t <> b.t")
 
 
+# 4. Scanned pages
+
+
+def _reader(spark: SparkSession, sf_dir: str) -> scanning.Reader:
+    return scanning.Reader(table(spark, sf_dir, "ocr_lines"), table(spark, sf_dir, "pdf_blocks"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reader(spark, sf_dir).defects()
+
+
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reader(spark, sf_dir).paragraphs()
+
+
 # 5. Reproducible sample
 
 
@@ -191,7 +206,7 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_unified": p3_unified, "p5_sample": p5_sample, "p6_found": p6_found, "p6_splits": p6_splits,
+    "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_sample": p5_sample, "p6_found": p6_found, "p6_splits": p6_splits,
     "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_languages": p9_languages, "p9_segments": p9_segments,
 }
