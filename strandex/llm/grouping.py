@@ -10,28 +10,21 @@ from pyspark.sql import functions as F
 from .common import cut, keep
 from .sampling import md5_unit
 
-#: A node is hot when it holds more than one in this many of all edges, so there are at most this many hot nodes (times two ends).
-HOT_SHARE = 1000
+#: Edges of one node are spread over this many parts, so no task gets more than that part of a node's edges.
+SALT = 64
 #: Author names that name nobody (fixed values).
 PLACEHOLDERS = ("", "unknown", "n/a", "na", "none", "null", "anonymous", "anon", "-", "--", "?", "??", "tbd", "nobody", "not available", "unbekannt")
 
 
-def with_minimum(edges: DataFrame, by: str, of: str, into: str, kept: list[DataFrame]) -> DataFrame:
+def with_minimum(edges: DataFrame, by: str, of: str, into: str) -> DataFrame:
     """edges with the least ``of`` among the edges of the same ``by``, in ``into``.
 
-    The minimum is pre-aggregated before the shuffle. Edges of hot nodes meet it by a broadcast of at most HOT_SHARE rows (the nodes with
-    more than a 1/HOT_SHARE of all edges); the others by a shuffle in which no key has more than that part. Frames persisted on the way are added to ``kept``."""
-    least = keep(edges.groupBy(by).agg(F.min(of).alias(into), F.count(F.lit(1)).alias("_n")))
-    kept.append(least)
-    seen = least.agg(F.sum("_n").alias("all"), F.max("_n").alias("most")).first()
-    bound = max(1000, (seen["all"] or 0) // HOT_SHARE)
-    if (seen["most"] or 0) <= bound:
-        return edges.join(least.select(by, into), by)
-    hot = F.col("_n") > bound
-    hot_rows = least.where(hot).select(by, F.col(into).alias("_hot"))
-    marked = edges.join(F.broadcast(hot_rows), by, "left")
-    cold = marked.where(F.col("_hot").isNull()).drop("_hot").join(least.where(~hot).select(by, into), by)
-    return cold.unionByName(marked.where(F.col("_hot").isNotNull()).withColumnRenamed("_hot", into))
+    Each edge belongs to one of SALT parts of its ``by`` by the hash of its other end. The minimum is taken by part, then over the parts,
+    and goes back to the parts that exist, so a node with a third of all edges is spread over SALT tasks and one with few costs no more."""
+    parts = edges.withColumn("_part", F.pmod(F.xxhash64(of), F.lit(SALT)).cast("byte"))
+    least = (parts.groupBy(by, "_part").agg(F.min(of).alias("_least")).groupBy(by).agg(F.min("_least").alias(into), F.collect_set("_part").alias("_parts"))
+             .select(by, into, F.explode("_parts").alias("_part")))
+    return parts.join(least, [by, "_part"]).drop("_part")
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -41,17 +34,15 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     diameter; each cuts its lineage by a checkpoint in the shared folder, and compares counts and hash sums only."""
     ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     ends = cut(ends)
-    mark, kept = None, []
+    mark = None
     for _ in range(max_rounds):
         # large star: of each node's neighbours the larger ones move to the least of node and neighbours
         both = ends.select("u", "v").unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_minimum(both, "u", "v", "m", kept).withColumn("m", F.least("u", "m")).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = with_minimum(both, "u", "v", "m").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         # small star: the smaller neighbours and the node itself move to the least neighbour
-        low = with_minimum(large, "u", "v", "m", kept)
+        low = with_minimum(large, "u", "v", "m")
         small = low.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         ends = cut(small)
-        while kept:
-            kept.pop().unpersist()
         now = ends.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (now["n"], now["h"]) == mark:
             break
@@ -71,12 +62,10 @@ def related_groups(records: DataFrame, id_col: str, entities: list[DataFrame], l
     of all records makes a third of the records one link each and is never gathered."""
     ids = keep(records.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct())
     pairs: list[DataFrame] = []
-    kept: list[DataFrame] = []
     for e in entities:
         i, key = e.columns
         e = e.where(F.col(i).isNotNull() & F.col(key).isNotNull()).select(F.col(i).alias("_id"), F.col(key).alias("_key")).distinct().join(ids, "_id", "left_semi")
-        kept.append(keep(e))
-        pairs.append(with_minimum(e, "_key", "_id", "_least", kept).select(F.col("_id").alias("a"), F.col("_least").alias("b")))
+        pairs.append(with_minimum(e, "_key", "_id", "_least").select(F.col("_id").alias("a"), F.col("_least").alias("b")))
     for x in links:
         i, j = x.columns
         x = x.where(F.col(i).isNotNull() & F.col(j).isNotNull()).select(F.col(i).alias("a"), F.col(j).alias("b"))
@@ -84,8 +73,6 @@ def related_groups(records: DataFrame, id_col: str, entities: list[DataFrame], l
     if not pairs:
         return ids.select(F.col("_id").alias(id_col), F.col("_id").alias("group_id"))
     found = connected_components(reduce(DataFrame.unionByName, pairs), "a", "b")
-    for x in kept:
-        x.unpersist()
     return ids.join(found, F.col("_id") == F.col("node"), "left").select(F.col("_id").alias(id_col), F.coalesce("component", "_id").alias("group_id"))
 
 
