@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, grouping, language, lookalikes, mixing, sampling, scanning, splitting
+from . import encoding, grouping, language, lookalikes, mails, mixing, sampling, scanning, splitting
 from .common import keep, table
 
 #: Documents' tokens are counted in this vocabulary.
@@ -15,6 +15,24 @@ VOCABULARY = "byte_bpe_50k"
 LIMIT, OVERLAP = 2000, 200
 
 
+# 1. Emails
+
+
+def p1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mails.newly_written(table(spark, sf_dir, "corpus").where("email_body").select("id", "sections", "sender"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_lines(spark, sf_dir).select("id", "section_no", "passage_no", "line_no").distinct()
+
+
+def p1_authored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each mail's newly written text; mails without any have an empty one."""
+    lines = p1_lines(spark, sf_dir).distinct()
+    texts = lines.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_no", "passage_no", "line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return table(spark, sf_dir, "corpus").where("email_body").select("id").distinct().join(texts, "id", "left").select("id", F.coalesce("text", F.lit("")).alias("text"))
+
+
 # 2. Oversized items
 
 
@@ -206,7 +224,7 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_sample": p5_sample, "p6_found": p6_found, "p6_splits": p6_splits,
+    "p1_found": p1_found, "p1_authored": p1_authored, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_sample": p5_sample, "p6_found": p6_found, "p6_splits": p6_splits,
     "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_languages": p9_languages, "p9_segments": p9_segments,
 }
