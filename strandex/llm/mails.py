@@ -243,6 +243,8 @@ class Model:
                         sign += 0.7
                     else:
                         sign -= 5.0 if _FINAL.search(t) or count > 8 else 2.5
+                if all(_RULE.match(t) for t in texts):
+                    own -= 4.0
                 s[AUTHORED] = own - max(0.0, d) - (6.0 if b.closing and not _GREETING.match(first) else 0.0) - (20.0 if flagged else 0.0)
                 s[SIGNATURE] = sign - (4.0 if b.post else 0.0)
                 # what a badly wrapped quotation leaves without its mark
