@@ -6,9 +6,9 @@ from .common import Query, Registry
 
 
 def registries() -> list[Registry]:
-    from . import search
+    from . import relational, search
 
-    return [search.R_]
+    return [search.R_, relational.R]
 
 
 def queries() -> dict[str, Query]:
