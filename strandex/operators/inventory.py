@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -140,8 +141,6 @@ def search_filter(paths: Sequence[str] = (), extensions: Sequence[str] = (), mod
     return out
 
 
-import re  # noqa: E402
-
 _EXTENSION = re.compile(r"(?=.{2,32}\Z)\.[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*")
 
 

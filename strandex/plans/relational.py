@@ -139,7 +139,7 @@ def failed_jobs(spark: SparkSession, d: str) -> DataFrame:
     return j.select("job_id", state.alias("next_state"), at.alias("next_try"))
 
 
-@R.add(f"WITH {JOBS} SELECT document_id, min(ts) AS ts, CASE WHEN max((state = 'failed')::INT) = 1 THEN 'reindex' ELSE 'index' END AS kind, count(*) AS requests FROM j WHERE state IN ('failed', 'queued') AND job_id % 11 = 0 GROUP BY 1".replace("AND job_id % 11 = 0 ", ""))
+@R.add(f"WITH {JOBS} SELECT document_id, min(ts) AS ts, CASE WHEN max((state = 'failed')::INT) = 1 THEN 'reindex' ELSE 'index' END AS kind, count(*) AS requests FROM j WHERE state IN ('failed', 'queued') GROUP BY 1")
 def open_jobs(spark: SparkSession, d: str) -> DataFrame:
     """One open job for each document of many requests; re-indexing wins."""
     r = jobs(spark, d).where("state IN ('failed', 'queued')").withColumn("kind", F.when(F.col("state") == "failed", "reindex").otherwise("index"))
@@ -156,18 +156,19 @@ def reconciliation(spark: SparkSession, d: str) -> DataFrame:
     return I.missing(m.select("id").distinct(), m.where("batch_no >= 3"), ["id"])
 
 
-@R.add("""WITH m AS (SELECT DISTINCT id, sha256, batch_no FROM manifest), a AS (SELECT sha256, min(id) AS old FROM m WHERE batch_no <= 3 AND sha256 IS NOT NULL GROUP BY sha256 HAVING count(*) = 1),
-b AS (SELECT sha256, min(id) AS "new" FROM m WHERE batch_no > 3 AND sha256 IS NOT NULL GROUP BY sha256 HAVING count(*) = 1) SELECT old, "new" FROM a JOIN b USING (sha256)""")
+@R.add("""WITH m AS (SELECT doc_id, md5(text) AS h FROM documents WHERE text IS NOT NULL), a AS (SELECT h, min(doc_id) AS old FROM m WHERE doc_id % 2 = 0 GROUP BY h HAVING count(*) = 1),
+b AS (SELECT h, min(doc_id) AS "new" FROM m WHERE doc_id % 2 = 1 GROUP BY h HAVING count(*) = 1) SELECT old, "new" FROM a JOIN b USING (h)""")
 def rename_candidates(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "manifest").select("id", "sha256", "batch_no").distinct()
-    return I.renames(m.where("batch_no <= 3"), m.where("batch_no > 3"), "sha256", "id")
+    """Documents of even ids taken for gone and of odd ids for new: those with one content and no other choice."""
+    m = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5("text").alias("h"))
+    return I.renames(m.where("doc_id % 2 = 0"), m.where("doc_id % 2 = 1"), "h", "doc_id")
 
 
-@R.add(f"WITH {PASS}, a AS (SELECT content_id, ordinal FROM p WHERE extraction_method = 'Ocr' AND ocr_confidence < 60) SELECT DISTINCT p.id, p.content_id, p.ordinal FROM p JOIN a ON p.content_id = a.content_id AND p.ordinal BETWEEN a.ordinal - 2 AND a.ordinal + 1")
+@R.add(f"WITH {PASS}, a AS (SELECT content_id, ordinal FROM p WHERE extraction_method = 'Ocr' AND ocr_confidence < 85) SELECT DISTINCT p.id, p.content_id, p.ordinal FROM p JOIN a ON p.content_id = a.content_id AND p.ordinal BETWEEN a.ordinal - 2 AND a.ordinal + 1")
 def context_window(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours of uncertain passages in their content."""
     p = passages(spark, d)
-    return I.context_window(p.select("id", "content_id", "ordinal"), p.where("extraction_method = 'Ocr' AND ocr_confidence < 60"), "content_id", "ordinal", 2, 1)
+    return I.context_window(p.select("id", "content_id", "ordinal"), p.where("extraction_method = 'Ocr' AND ocr_confidence < 85"), "content_id", "ordinal", 2, 1)
 
 
 @R.add(f"""WITH {PASS}, s AS (SELECT DISTINCT id AS section_id, CAST(strpos(display_text, '. ') AS BIGINT) AS a FROM sections WHERE strpos(display_text, '. ') > 0)
@@ -187,7 +188,7 @@ def section_metadata(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sections").select("id").distinct().join(first, F.col("id") == F.col("section_id")).select("id", "file_name")
 
 
-@R.add(f"WITH {PASS} SELECT id FROM p WHERE (source_path = '/projects/sotex' OR source_path LIKE '/projects/sotex/%' OR source_path LIKE '/projects/r%/%') AND (lower(file_name) LIKE '%.pdf' OR lower(file_name) LIKE '%.docx') AND modified_utc BETWEEN TIMESTAMPTZ '2023-06-01 00:00:00+00' AND TIMESTAMPTZ '2025-06-01 00:00:00+00' AND source_path LIKE '/projects/%'".replace(" OR source_path LIKE '/projects/r%/%'", " OR source_path LIKE '/projects/rever/%' OR source_path = '/projects/rever' OR source_path LIKE '/projects/tove/%'"))
+@R.add(f"WITH {PASS} SELECT id FROM p WHERE (source_path = '/projects/sotex' OR source_path LIKE '/projects/sotex/%' OR source_path LIKE '/projects/rever/%' OR source_path = '/projects/rever' OR source_path LIKE '/projects/tove/%') AND (lower(file_name) LIKE '%.pdf' OR lower(file_name) LIKE '%.docx') AND modified_utc BETWEEN TIMESTAMPTZ '2023-06-01 00:00:00+00' AND TIMESTAMPTZ '2025-06-01 00:00:00+00'")
 def search_filters(spark: SparkSession, d: str) -> DataFrame:
     """Path, extension and time filters, as one condition that reaches the scan."""
     import datetime
