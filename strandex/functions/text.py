@@ -240,7 +240,7 @@ def ascii_tokens(text: Column) -> Column:
 def email_subject(text: Column) -> Column:
     """The first non-empty subject line."""
     found = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?mi)^Subject:[ \t]*(\S.*)$", 1)
-    return F.when(found != "", F.rtrim(found))
+    return F.when(found != "", F.regexp_replace(found, r"\s+$", ""))
 
 
 def evidence_key(text: Column) -> Column:

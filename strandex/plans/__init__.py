@@ -6,9 +6,9 @@ from .common import Query, Registry
 
 
 def registries() -> list[Registry]:
-    from . import relational, search
+    from . import evidence, relational, search
 
-    return [search.R_, relational.R]
+    return [search.R_, relational.R, evidence.R]
 
 
 def queries() -> dict[str, Query]:
