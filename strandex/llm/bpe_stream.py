@@ -259,7 +259,7 @@ class Encoder:
             held = pieces[-2:]
             yield from chain.from_iterable(map(memo.__getitem__, pieces[:-2]))
             tail = "".join(held)
-            if held and len(held[-1]) > BLOCK // 4:
+            if held and len(held[-1]) > max(3, BLOCK // 4):  # too long for a contraction
                 yield from chain.from_iterable(map(memo.__getitem__, held[:-1]))
                 body = held[-1]
                 kind = next((k for k in (LETTER, DIGIT, BLANK) if k.match(body, len(body) - 1)), OTHER)

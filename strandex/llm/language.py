@@ -30,7 +30,8 @@ NO_LABEL = {"", "und", "unknown", "??", "?", "xx", "zxx", "mul", "n/a", "na", "n
 #: Bound of the labelled sample: documents, and sentences of each.
 SAMPLE_DOCUMENTS, SAMPLE_SENTENCES = 3000, 6
 BUCKETS, DIMENSION, GRAMS = 1 << 15, 12, (3, 4)
-EPOCHS = 8
+#: Passes over the sample, and steps of 64 sentences that are made at least.
+EPOCHS, STEPS = 8, 2000
 #: Sentences whose calibrated confidence is lower than this get no language.
 REJECT = 0.7
 #: Words a sentence has at least, codes and numbers aside.
@@ -213,7 +214,8 @@ def train(rows: list[tuple[str, str]], seed: int = 9) -> Model:
         scores = emb @ out
         return np.array([scores[[g for w in s for g in w]].mean(0) for s in of]) + bias
 
-    first = _fit(sentences, y, k, 3, seed)
+    passes = lambda n, steps: -(-steps * 64 // max(1, n))
+    first = _fit(sentences, y, k, max(3, passes(len(y), STEPS // 3)), seed)
     z = logits(*first, sentences)
     p = np.exp(z - z.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
@@ -221,7 +223,7 @@ def train(rows: list[tuple[str, str]], seed: int = 9) -> Model:
     keep = np.flatnonzero(~wrong)
     held = keep[np.arange(len(keep)) % 10 == 7] if len(keep) >= 50 else keep
     learn = np.setdiff1d(keep, held) if len(keep) >= 50 else keep
-    emb, out, bias = _fit([sentences[i] for i in learn], y[learn], k, EPOCHS, seed + 1)
+    emb, out, bias = _fit([sentences[i] for i in learn], y[learn], k, max(EPOCHS, passes(len(learn), STEPS)), seed + 1)
     z = logits(emb, out, bias, [sentences[i] for i in held])
     best, temperature = np.inf, 1.0
     for t in (0.3, 0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0):
