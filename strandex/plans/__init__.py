@@ -6,9 +6,9 @@ from .common import Query, Registry
 
 
 def registries() -> list[Registry]:
-    from . import evidence, relational, search
+    from . import evidence, relational, search, streams
 
-    return [search.R_, relational.R, evidence.R]
+    return [search.R_, relational.R, evidence.R, streams.R]
 
 
 def queries() -> dict[str, Query]:
