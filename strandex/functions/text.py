@@ -29,11 +29,12 @@ DISCLAIMERS = (
 #: Tokens of the semantic context, characters of each of its values, and length from which a repeated line is dropped.
 CONTEXT_TOKENS, CONTEXT_CHARS, REPEATED_LINE = 64, 200, 80
 
-_SOFT_WRAP = re.compile(r"([^\W\d_]|[̀-ͯ])­[ \t]*(?:\r\n|[\r\n ])[ \t]*(?=[^\W\d_])")
-_CELL_WRAP = re.compile(r"([^\W\d_]|[̀-ͯ])­ * *(?=[^\W\d_])")
-_HARD_WRAP = re.compile(r"([^\W\d_]|[̀-ͯ])[-‐][ \t]*[\n ][ \t]*(?=[^\W\d_])")
-_TOKEN = re.compile(r"(?:\w|[̀-ͯ҃-҉֑-ׇؐ-ًؚ-ٰٟऀ-ःऺ-़ा-ॏ⃐-⃰])+")
-_GAP = re.compile(r"[-‐­][ \t]*(?:\r\n|\r|\n| )[ \t]*")
+_LETTER = r"([^\W\d_]|[̀-ͯ])"
+_SOFT_WRAP = re.compile(_LETTER + r"­[ \t]*(?:\r\n|[\r\n ])[ \t]*(?=[^\W\d_])")
+_CELL_WRAP = re.compile(_LETTER + r"­ *  *(?=[^\W\d_])")
+_HARD_WRAP = re.compile(_LETTER + r"[-‐][ \t]*[\n ][ \t]*(?=[^\W\d_])")
+_TOKEN = re.compile(r"(?:\w|[̀-ͯ҃-҉֑-ׇؐ-ًؚ-ٰٟऀ-ःऺ-ॏ⃐-⃰])+")
+_GAP = re.compile(r"[-‐­][ \t]*(?:\r\n|\r|\n| )[ \t]*")
 _SPACE = re.compile(r"\s+")
 
 

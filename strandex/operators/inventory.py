@@ -157,13 +157,13 @@ def keyset_page(df: DataFrame, keys: Sequence[tuple[str, bool]], after: Sequence
         beyond = F.lit(False)
         same = F.lit(True)
         for (c, up), v in zip(keys, after, strict=True):
-            col = F.col(c)
+            col, v = F.col(c), None if v is None else F.lit(v).cast(df.schema[c].dataType)  # of the column's type, so that it reaches the scan
             if v is None:
                 later = col.isNotNull() if up else F.lit(False)
                 equal = col.isNull()
             else:
-                later = F.coalesce(col > F.lit(v), F.lit(False)) if up else (col < F.lit(v)) | col.isNull()
-                equal = F.coalesce(col == F.lit(v), F.lit(False))
+                later = col > v if up else (col < v) | col.isNull()
+                equal = col == v
             beyond = beyond | (same & later)
             same = same & equal
         df = df.where(beyond)

@@ -220,9 +220,9 @@ def complete(jobs: DataFrame, done: DataFrame, documents: DataFrame) -> DataFram
     """jobs after work on them ended (id, epoch): completed, or queued again if the document has been observed anew since."""
     epochs = documents.select(F.col("id").alias("document_id"), F.col("observation_epoch").alias("_now"))
     j = jobs.join(done.select("id", F.col("epoch").alias("_e")), "id", "left").join(epochs, "document_id", "left")
-    hit = F.col("_e").isNotNull() & (F.col("state") == "running")
-    stale = F.coalesce(F.col("_now") > F.col("_e"), F.lit(False))
-    return j.withColumn("state", F.when(hit & stale, "queued").when(hit, "completed").otherwise(F.col("state"))).withColumn("expected_epoch", F.when(hit & stale, F.col("_now")).otherwise(F.col("expected_epoch"))).drop("_e", "_now").select(*jobs.columns)
+    j = j.withColumn("_hit", F.col("_e").isNotNull() & (F.col("state") == "running"))
+    hit, stale = F.col("_hit"), F.coalesce(F.col("_now") > F.col("_e"), F.lit(False))
+    return j.withColumn("state", F.when(hit & stale, "queued").when(hit, "completed").otherwise(F.col("state"))).withColumn("expected_epoch", F.when(hit & stale, F.col("_now")).otherwise(F.col("expected_epoch"))).select(*jobs.columns)
 
 
 def recover(jobs: DataFrame, revisions: DataFrame) -> tuple[DataFrame, DataFrame]:
