@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from unicodedata import normalize
 from zlib import crc32
 
 import numpy as np
@@ -40,6 +41,9 @@ UNDETERMINED = "und"
 
 _CUT = re.compile(r"(?:(?<=[.!?…])|(?<=[.!?…][\"'«»“”‘’›)]))[^\S\n\t]+(?=[\"'«»„“”‚‘‹(¿¡]?[^\W\d_a-zà-öø-ÿ])|[\n\t]+")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Words of texts with combining accents or invisible characters.
+_LOOSE = re.compile("[\u0300-\u036f\u00ad\u200b-\u200d\u2060\ufeff]")
+_LOOSE_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f\u00ad\u200b-\u200d\u2060\ufeff])*")
 _END = re.compile(r"[.!?…][\"'«»“”‘’›)]*\s*\Z")
 
 
@@ -81,6 +85,11 @@ def grams(word: str) -> list[int]:
     return [g % BUCKETS for g in found]
 
 
+def plain(word: str) -> str:
+    """A word in lower case, composed, without invisible characters."""
+    return word.lower() if word.isascii() else normalize("NFKC", re.sub("[\u00ad\u200b-\u200d\u2060\ufeff]", "", word)).lower()
+
+
 @dataclass
 class Model:
     """Scores of each bucket for each language (embeddings times softmax weights), the bias, and the temperature."""
@@ -115,7 +124,7 @@ class Labeller:
                 i = known[w] = len(known)
                 if i == len(self.table):
                     self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                g = grams(w.lower())
+                g = grams(plain(w))
                 self.table[i, :-1] = self.m.scores[g].sum(0)
                 self.table[i, -1] = len(g)
             at = [known[w] for w in words]
@@ -129,10 +138,11 @@ class Labeller:
         words: list[str] = []
         begins: list[int] = []
         for k, text in enumerate(texts):
+            words_of = (_LOOSE_WORD if not text.isascii() and _LOOSE.search(text) else _WORD).findall
             for a, b, whole in pieces(text):
                 if not whole:
                     continue
-                found = _WORD.findall(text, a, b)
+                found = words_of(text, a, b)
                 if sum(1 for w in found if not w.isupper()) < SENTENCE_WORDS:
                     continue
                 begins.append(len(words))
@@ -204,7 +214,7 @@ def train(rows: list[tuple[str, str]], seed: int = 9) -> Model:
     memo: dict[str, list[int]] = {}
     sentences, labels = [], []
     for text, code in sorted(rows):
-        words = [w.lower() for w in _WORD.findall(text)]
+        words = [plain(w) for w in _LOOSE_WORD.findall(text)]
         if code in number and words:
             sentences.append([memo.setdefault(w, None) or memo.__setitem__(w, grams(w)) or memo[w] for w in words])
             labels.append(number[code])
