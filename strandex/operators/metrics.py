@@ -149,7 +149,7 @@ def paired_bootstrap(pairs: DataFrame, cluster: str, a: str, b: str, rounds: int
 
     means = spark.range(rounds if rows else 0).mapInPandas(run, "mean double").agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
     whole = pairs.agg(F.avg(F.col(b) - F.col(a)).alias("difference"), F.count_if(F.col(b) > F.col(a)).alias("gains"), F.count_if(F.col(b) < F.col(a)).alias("losses"), F.min(F.col(b) - F.col(a)).alias("worst"))
-    return whole.crossJoin(means)  # one row each
+    return whole.join(means)  # one row each
 
 
 def outcome_shares(checks: DataFrame, category: str, outcome: str, outcomes: Sequence[str]) -> DataFrame:
