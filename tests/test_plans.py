@@ -63,7 +63,7 @@ def test_plan_shapes(spark, data):
     assert "TakeOrderedAndProject" in top and "Exchange" not in top
     assert "TakeOrderedAndProject" in plan(q["keyset_page_orders"](spark, data)) and "PushedFilters: [Or" in plan(q["keyset_page_orders"](spark, data))
     files = plan(q["search_filters"](spark, data))
-    assert "ReadSchema: struct<id:string,file_name:string,source_path:string,modified_utc:timestamp>" in files and "StringStartsWith(source_path" in files
+    assert "ReadSchema: struct<id:string,file_name:string,source_path:string,modified_utc:timestamp>" in files and "StringStartsWith(sourc" in files
     for name in ("latest_job", "issue_lifecycles", "context_window"):
         assert "CartesianProduct" not in plan(q[name](spark, data)) and "NestedLoop" not in plan(q[name](spark, data))
     assert "Window" not in plan(q["latest_job"](spark, data))
