@@ -50,7 +50,7 @@ def count_tokens(df: DataFrame, text_col: str, into: str = "n_tokens", path: str
     """df without its text, with the number of tokens of the text (0 for null and empty texts) as a bigint in ``into``."""
     ship(df.sparkSession)
     where = path or vocabulary()
-    others = [c for c in df.columns if c != text_col]
+    others = [c for c in df.columns if c not in (text_col, into)]
     out = T.StructType([*(df.schema[c] for c in others), T.StructField(into, T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
