@@ -53,8 +53,11 @@ def for_display(text: str | None, table: bool = False) -> str:
     In tables tabs and edges are kept, for they mark empty cells."""
     if text is None or not text.strip():
         return ""
-    text = _join_wraps(_CELL_WRAP if table else _SOFT_WRAP, text)
-    text = "".join(c for c in text if c in "\n\r\t" or unicodedata.category(c) not in ("Cc", "Cf"))
+    if "\u00ad" in text:
+        text = _join_wraps(_CELL_WRAP if table else _SOFT_WRAP, text)
+    unseen = [c for c in set(text) if c not in "\n\r\t" and unicodedata.category(c) in ("Cc", "Cf")]
+    if unseen:
+        text = text.translate(dict.fromkeys(map(ord, unseen)))
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     return text if table else re.sub(r"[ \t\f\v]+\n", "\n", text).strip()
 
@@ -62,7 +65,7 @@ def for_display(text: str | None, table: bool = False) -> str:
 def for_search(text: str | None, dehyphenate: bool = False) -> str:
     """Text for comparing: the display form, compatibility-composed, with single blanks; visible line-end hyphens joined if asked."""
     shown = for_display(text)
-    if dehyphenate:
+    if dehyphenate and ("-" in shown or "\u2010" in shown) and ("\n" in shown or "\u2028" in shown):
         shown = _join_wraps(_HARD_WRAP, shown)
     return _SPACE.sub(" ", unicodedata.normalize("NFKC", shown)).strip()
 

@@ -236,9 +236,9 @@ def chunk(text: str, table: bool = False, semantic: Callable[[str], str] = lambd
     out: list[tuple[str, int]] = []
     start, previous = 0, 0
     while start < n:
-        over = first(start, start + 1, lambda j: size(start, j) > MAXIMUM or len(part(start, j)) > MAX_CHARS)
-        enough = first(start, start + 1, lambda j: size(start, j) >= TARGET)
-        end = max(start + 1, min(enough, over - 1, n))
+        end = min(first(start, start + 1, lambda j: size(start, j) >= TARGET), n)
+        if size(start, end) > MAXIMUM or len(part(start, end)) > MAX_CHARS:
+            end = max(start + 1, first(start, start + 1, lambda j: size(start, j) > MAXIMUM or len(part(start, j)) > MAX_CHARS) - 1)
         if end < n:
             floor = max(start, previous)
             back = next((j for j in range(end, floor, -1) if ends[j - 1]), None)
@@ -503,7 +503,8 @@ def passages_of(blocks: Sequence[Block], content_id: str, file_name: str = "", t
         references = b.kind == "sheet"
         body_of = lambda t: clean_body(linearize(t, p.header, references) if p.header else t, b.boilerplate, mail)  # noqa: E731, B023
         context = [("Title", title), ("Heading", b.heading), ("Table caption", p.caption), ("Sheet", b.sheet), ("Email subject", subject), ("Table headers", p.header.display if p.header else None), ("Content", content_name), ("Filename", file_name)]
-        semantic = lambda t: compose(body_of(t), context, count)  # noqa: E731, B023
+        tail = compose("", context, count)  # cleaned bodies and composed contexts are in their search form already
+        semantic = lambda t: f"{body_of(t)} {tail}".strip()  # noqa: E731, B023
         for k, (text, start) in enumerate(chunk(p.text, b.table is not None, semantic, count)):
             own = text if sign is None else "" if start >= sign else text[: sign - start]
             body = body_of(own)
