@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import name_key
 from .operators.sections import Block, deterministic_id, passages_of
+from .runtime import ship
 from .sources.extract import extract_files, read_files
 from .sources.formats import BY_EXTENSION
 from .store import PREPARATION, SCHEMAS, Store, activate, observe, reconcile, tombstone
@@ -85,6 +86,7 @@ def index_folder(store: Store, project: str, folder: str, embed: Callable[[Colum
 
     The listing is compared with the known documents by size and time before anything is read; only changed files are opened, in parallel,
     and one commit replaces their rows. A file whose content is what was indexed, by the same preparation, keeps its revision."""
+    ship(store.spark)
     held: list[DataFrame] = []
     try:
         return _index(store, project, folder, embed, policy, force, held)

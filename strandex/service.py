@@ -20,6 +20,7 @@ from .operators import ranking as R
 from .operators import trees
 from .operators import vectors
 from .operators.clauses import RequestError, SearchRequest
+from .runtime import ship
 from .store import Store
 
 #: Fields of a query and the columns of passages that hold them.
@@ -43,6 +44,9 @@ class Service:
     store: Store
     embed: Callable[[str], Sequence[float]] | None = None
 
+    def __post_init__(self) -> None:
+        ship(self.store.spark)
+
     # Search
 
     def search(self, request: SearchRequest, project: str | None = None, condition: Column | None = None) -> SearchResult:
