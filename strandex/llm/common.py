@@ -9,6 +9,11 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
+
+__all__ = ["checkpoint_dir", "cut", "keep", "ship", "table", "tokenizer_dir", "unit_hash"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,22 +52,3 @@ def unit_hash(*cols: Column, seed: int) -> Column:
 def tokenizer_dir() -> str:
     """Folder of the public vocabularies; STRANDEX_TOKENIZERS overrides it."""
     return os.environ.get("STRANDEX_TOKENIZERS", "/opt/tokenizers")
-
-
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable in the executors when the driver got it from a folder they may not have."""
-    sc = spark.sparkContext
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    if sc.master.startswith("local") or getattr(sc, "_strandex_shipped", False):
-        return
-    import zipfile
-
-    path = os.path.join(tempfile.mkdtemp(prefix="strandex-"), "strandex.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, files in os.walk(os.path.join(root, "strandex")):
-            for name in files:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
-    sc._strandex_shipped = True
