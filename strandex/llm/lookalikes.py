@@ -148,7 +148,7 @@ def _digests(*cols: Column) -> Column:
         digest = lambda t: blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
         for series in parts:
             rows = []
-            for texts in zip(*series):
+            for texts in zip(*((series,) if isinstance(series, pd.Series) else series)):  # one column comes by itself
                 made: dict[str, dict] = {}
                 for t in texts:
                     if t is not None and t not in made:

@@ -79,6 +79,7 @@ def test_pairs_against_brute_force(spark):
                     want.add((name, x[0], y[0]))
     assert got == want and want
     assert lookalikes.same_looking_pairs(df.limit(0), "id", ["t"]).count() == 0
+    assert {(r["id_a"], r["id_b"]) for r in lookalikes.same_looking_pairs(df, "id", ["t"]).collect()} == {(a, b) for f, a, b in want if f == "t"}
 
 
 # Languages
