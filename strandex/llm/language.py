@@ -330,6 +330,7 @@ def identify(df: DataFrame, id_col: str, text_col: str, label_col: str, model: M
                 codes[x] = label_code(x)
             yield pd.DataFrame({"code": [codes[x] for x in labels], "found": found})
 
+    run = run.asNondeterministic()  # a filter on the result must not make a second reading below it
     return df.select(F.col(id_col), run(F.col(text_col), F.col(label_col)).alias("_x")).select(id_col, F.col("_x.code").alias("label_code"), F.col("_x.found").alias("segments" if segments else "languages"))
 
 
