@@ -221,6 +221,33 @@ def test_scanned_frames(spark):
     assert scanning.Reader(df.limit(0), None).defects().count() == 0
 
 
+def test_two_character_numbers_are_judged():
+    lex = lexicon()
+    for read, right in (("1O", "10"), ("l2", "12"), ("5O.", "50."), ("1O.03.2024", "10.03.2024"), ("12.O5", "12.05"), ("1S:30", "15:30")):
+        assert lex.judge(read) == (True, right), read
+    assert lex.judge("1S", None, "page", "") == (True, "15") and lex.judge("B4,", None, "", "days") == (True, "84,")
+    for token in ("A4", "Q1", "5l", "12.5l", "B2.1", "H2", "2D", "T1"):
+        assert lex.judge(token) == (False, token)
+
+
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_rare_misreadings_are_found(spark, monkeypatch, sent):
+    monkeypatch.setattr(scanning, "RARE_SENT", sent)
+    rows = []
+    for p in range(1, 16):
+        rows.append((10 * p, "d", p, 0, f"the {'Halvorsen' if p > 1 else 'Halvorscn'} depot returned", None, (0.1, 0.4, 0.6, 0.014), None))
+        rows.append((10 * p + 1, "d", p, 1, "pallets with a label and", None, (0.1, 0.427, 0.6, 0.014), None))
+    got = {(r["unit_id"], r["defect"]) for r in scanning.Reader(spark.createDataFrame(rows, LINE), None).defects().collect()}
+    assert (10, "misread") in got and not any(d == "misread" and i != 10 for i, d in got)
+
+
+def test_rare_words_below_the_lexicon(spark):
+    rows = [(n, "d", 1, n, "Halvorsen" if n else "Halvorscn", None, None, None) for n in range(16)]
+    _, _, counts = scanning.build_lexicon(scanning.units_of(spark.createDataFrame(rows, LINE), None))
+    sent = spark.sparkContext.broadcast(("rare-words", {"the": 5000}, 20))
+    assert [(r["w"], r["right"]) for r in scanning.rare_words(counts, sent).collect()] == [("Halvorscn", "Halvorsen")]
+
+
 def test_keys_agree(spark):
     texts = ["The read-only backiip v0lume    5", "2    EL PLAN", "Rev. 8.1 – Zusar", "", "é†@ 12"]
     got = [r["k"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(scanning.margin_key_column(__import__("pyspark.sql.functions", fromlist=["col"]).col("t")).alias("k")).collect()]
