@@ -248,6 +248,23 @@ def test_rare_words_below_the_lexicon(spark):
     assert [(r["w"], r["right"]) for r in scanning.rare_words(counts, sent).collect()] == [("Halvorscn", "Halvorsen")]
 
 
+def test_titles_tables_and_numbers_stay_in_the_text(spark):
+    rows = [(1, "d", 1, 0, "Yearly Plan", None, (0.1, 0.05, 0.2, 0.014), None)]
+    for p in (1, 2):
+        first = "depot" if p == 1 else "dep0t"
+        for n, text in enumerate([f"{first} pallets with a label and this should", "be mentioned in the minutes of the depot with the total", "1,500.00"] if p == 1 else [f"{first} returned pallets with a label and this", "should be mentioned in the minutes of", "2019."]):
+            rows.append((10 * p + n, "d", p, n + 1, text, None, (0.1, 0.3 + 0.027 * n, 0.6 if n < 2 else 0.1, 0.014), None))
+    rows += [(1000 + n, "e", 1, n, "the depot returned pallets", None, (0.1, 0.2 + 0.027 * n, 0.6, 0.014), None) for n in range(20)]
+    block = "block_id bigint, document_id string, page_number int, ordinal int, text string, extraction_method string, confidence double, is_table boolean, page_region struct<x:double,y:double,width:double,height:double>"
+    blocks = spark.createDataFrame([(1, "f", 1, 0, "the depot returned", "NativeText", None, False, (0.1, 0.2, 0.6, 0.02)), (2, "f", 1, 1, "store\t12\ntotal\t15", "NativeText", None, True, (0.1, 0.4, 0.6, 0.1)), (3, "f", 2, 0, "store\t99", "NativeText", None, True, (0.1, 0.4, 0.6, 0.1))], block)
+    got = scanning.Reader(spark.createDataFrame(rows, LINE), blocks).paragraphs().collect()
+    texts = {r["document_id"]: [x["text"] for x in sorted(got, key=lambda x: (x["page_number"], x["paragraph_no"])) if x["document_id"] == r["document_id"]] for r in got}
+    assert texts["d"][0] == "Yearly Plan"
+    assert " ".join(texts["d"][1:]) == "depot pallets with a label and this should be mentioned in the minutes of the depot with the total 1,500.00 depot returned pallets with a label and this should be mentioned in the minutes of 2019."
+    assert texts["f"] == ["the depot returned", "store\t12\ntotal\t15", "store\t99"]
+    assert len({(r["unit_table"], r["document_id"], r["page_number"], r["paragraph_no"]) for r in got}) == len(got)
+
+
 def test_keys_agree(spark):
     texts = ["The read-only backiip v0lume    5", "2    EL PLAN", "Rev. 8.1 – Zusar", "", "é†@ 12"]
     got = [r["k"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(scanning.margin_key_column(__import__("pyspark.sql.functions", fromlist=["col"]).col("t")).alias("k")).collect()]
