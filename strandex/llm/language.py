@@ -35,8 +35,11 @@ BUCKETS, DIMENSION, GRAMS = 1 << 15, 12, (3, 4)
 EPOCHS, STEPS = 8, 2000
 #: Sentences whose calibrated confidence is lower than this get no language.
 REJECT = 0.7
-#: Words a sentence has at least, codes and numbers aside.
+#: Words a sentence of the sample has at least; sentences with fewer, codes and numbers aside, need SHORT_LETTERS letters and more confidence.
 SENTENCE_WORDS = 3
+SHORT_LETTERS, SHORT_REJECT = 10, 0.9
+#: Letters that parts without the end of a sentence are joined to have, and a whole text has at least.
+PART_LETTERS, TEXT_LETTERS = 20, 4
 UNDETERMINED = "und"
 
 _CUT = re.compile(r"(?:(?<=[.!?…])|(?<=[.!?…][\"'«»“”‘’›)]))[^\S\n\t]+(?=[\"'«»„“”‚‘‹(¿¡]?[^\W\d_a-zà-öø-ÿ])|[\n\t]+")
@@ -76,6 +79,11 @@ def pieces(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
+def letters(words: list[str]) -> int:
+    """Letters in words; short ones in capitals, as codes have, aside."""
+    return sum(len(w) for w in words if len(w) > 3 or not w.isupper())
+
+
 def grams(word: str) -> list[int]:
     """Buckets of a word: itself and its inner n-grams, with marked ends."""
     marked = f"<{word}>"
@@ -130,37 +138,70 @@ class Labeller:
             at = [known[w] for w in words]
         return np.array(at, np.int64)
 
-    def label(self, texts: list[str]) -> list[list[tuple[int, int, int, float]]]:
-        """For each text (start, end, language number or -1, confidence) of its whole sentences."""
+    def label(self, texts: list[str], every: bool = False) -> list[list[tuple[int, int, int, float]]]:
+        """For each text (start, end, language number or -1, confidence) of its whole sentences.
+
+        With ``every``, of all its parts: those without the end of a sentence are joined until they have enough letters, and a text whose
+        parts get no language is scored as a whole."""
         if not self.m.languages:
             return [[] for _ in texts]
-        spans: list[tuple[int, int, int]] = []
+        spans: list[tuple[int, int, int, float]] = []
         words: list[str] = []
         begins: list[int] = []
+
+        def add(k: int, a: int, b: int, found: list[str], least: float) -> None:
+            begins.append(len(words))
+            words.extend(found)
+            spans.append((k, a, b, least))
+
         for k, text in enumerate(texts):
             words_of = (_LOOSE_WORD if not text.isascii() and _LOOSE.search(text) else _WORD).findall
+            open_at, open_end, open_words = -1, -1, []
             for a, b, whole in pieces(text):
-                if not whole:
+                if not whole and not every:
                     continue
                 found = words_of(text, a, b)
-                if sum(1 for w in found if not w.isupper()) < SENTENCE_WORDS:
+                if whole:
+                    usual = sum(1 for w in found if not w.isupper()) >= SENTENCE_WORDS
+                    if usual or len(found) > 1 and letters(found) >= SHORT_LETTERS:
+                        if open_words and letters(open_words) >= SHORT_LETTERS:
+                            add(k, open_at, open_end, open_words, SHORT_REJECT)
+                        open_at, open_words = -1, []
+                        add(k, a, b, found, REJECT if usual else SHORT_REJECT)
+                        continue
+                    if not every:
+                        continue
+                if not letters(found):
                     continue
-                begins.append(len(words))
-                words += found
-                spans.append((k, a, b))
+                open_at, open_end, open_words = a if open_at < 0 else open_at, b, open_words + found
+                if letters(open_words) >= PART_LETTERS:
+                    add(k, open_at, open_end, open_words, REJECT)
+                    open_at, open_words = -1, []
+            if open_words and letters(open_words) >= SHORT_LETTERS:
+                add(k, open_at, open_end, open_words, SHORT_REJECT)
         out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-        if not spans:
-            return out
+        for (k, a, b, least), (lang, conf) in zip(spans, self._score(words, begins)):
+            out[k].append((a, b, lang if conf >= least else -1, conf))
+        if every:
+            spans, words, begins = [], [], []
+            for k, text in enumerate(texts):
+                if all(x[2] < 0 for x in out[k]) and letters(found := _LOOSE_WORD.findall(text)) >= TEXT_LETTERS:
+                    a = len(text) - len(text.lstrip())
+                    add(k, a, len(text.rstrip()), found, REJECT)
+            for (k, a, b, least), (lang, conf) in zip(spans, self._score(words, begins)):
+                out[k] = [(a, b, lang if conf >= least else -1, conf)]
+        return out
+
+    def _score(self, words: list[str], begins: list[int]) -> list[tuple[int, float]]:
+        if not begins:
+            return []
         sums = np.add.reduceat(self.table_of(words), begins, axis=0)
         logits = (sums[:, :-1] / sums[:, -1:] + self.m.bias) / self.m.temperature
         logits -= logits.max(1, keepdims=True)
         p = np.exp(logits)
         p /= p.sum(1, keepdims=True)
         best = p.argmax(1)
-        sure = p[np.arange(len(p)), best]
-        for (k, a, b), lang, conf in zip(spans, best.tolist(), sure.tolist()):
-            out[k].append((a, b, lang if conf >= REJECT else -1, conf))
-        return out
+        return list(zip(best.tolist(), p[np.arange(len(p)), best].tolist()))
 
     def table_of(self, words: list[str]) -> np.ndarray:
         at = self._index(words)
@@ -285,11 +326,11 @@ def _texts(series: pd.Series, chars: int = 400_000) -> Iterator[list[str]]:
         yield part
 
 
-def identify(df: DataFrame, id_col: str, text_col: str, label_col: str, model: Model | None = None, segments: bool = False) -> DataFrame:
+def identify(df: DataFrame, id_col: str, text_col: str, label_col: str, model: Model | None = None, segments: bool = False, every: bool = False) -> DataFrame:
     """(id, label_code, languages) or, with ``segments``, (id, label_code, segments) of every row, duplicates included.
 
     languages: for each language in which the text has a whole sentence, the number of such sentences and their mean confidence, the most
-    frequent first; ``und`` stands for rejected sentences. segments: runs of sentences of one language with their offsets. Without whole
+    frequent first (with ``every``, of all parts, see :meth:`Labeller.label`); ``und`` stands for rejected sentences. segments: runs of sentences of one language with their offsets. Without whole
     sentences (null, blank and code-only texts too) the array is empty. The model is trained on :func:`labelled_sample` unless given; where
     nothing is labelled there are no languages to learn and all arrays are empty. Two passes over the table; only the model, whose size is
     fixed by BUCKETS and the languages, is sent to the executors."""
@@ -308,7 +349,7 @@ def identify(df: DataFrame, id_col: str, text_col: str, label_col: str, model: M
         for series, labels in parts:
             found: list[list[dict]] = []
             for texts in _texts(series):
-                for sentences in labeller.label(texts):
+                for sentences in labeller.label(texts, every):
                     if segments:
                         runs: list[dict] = []
                         for a, b, lang, conf in sentences:

@@ -212,14 +212,14 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's main language with its confidence (null without any whole sentence), and how many languages it holds."""
-    found = language.identify(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    """Each document's main language with its confidence (null where nothing in it has enough letters or confidence), and how many languages it holds."""
+    found = language.identify(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", every=True)
     main = F.get(F.filter("languages", lambda x: x["lang"] != language.UNDETERMINED), F.lit(0))
     return found.select("doc_id", F.coalesce(main["lang"], F.lit(language.UNDETERMINED)).alias("lang"), main["confidence"].alias("confidence"), F.size("languages").cast("bigint").alias("languages"))
 
 
 def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = language.identify(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", segments=True)
+    found = language.identify(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", segments=True, every=True)
     return found.select("doc_id", F.posexplode("segments").alias("segment_no", "s")).select("doc_id", F.col("segment_no").cast("bigint").alias("segment_no"), "s.start", "s.end", "s.lang", "s.confidence")
 
 

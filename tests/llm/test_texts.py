@@ -200,6 +200,19 @@ def test_combined_header_and_number():
     assert units[0].defects == {"running", "page_number"}
 
 
+def test_parts_without_sentence_ends_are_labelled():
+    en, de = "the pump valve and the motor were checked this morning".split(), "die Pumpe und der Motor wurden heute morgen nicht geprüft".split()
+    rng = random.Random(2)
+    rows = [(" ".join(rng.choices(words, k=6)) + ".", code) for words, code in ((en, "en"), (de, "de")) for _ in range(150)]
+    labeller = language.Labeller(language.train(rows))
+    names = labeller.m.languages
+    listed, shouted, short, code = "die Pumpe\nder Motor\nheute morgen nicht geprüft", "DIE PUMPE UND DER MOTOR NICHT GEPRÜFT.", "Motor geprüft.", "KX-123 ZZ-9"
+    assert labeller.label([listed, code]) == [[], []]
+    got = labeller.label([listed, code], True)
+    assert got[0] and {names[x[2]] for x in got[0]} == {"de"} and got[0][0][0] == 0 and got[0][-1][1] == len(listed) and got[1] == []
+    assert [[names[x[2]] for x in r] for r in labeller.label([shouted, short])] == [["de"], ["de"]]
+
+
 LINE = "line_id bigint, document_id string, page_number int, line_no int, text string, confidence double, page_region struct<x:double,y:double,width:double,height:double>, ingested_at timestamp"
 
 
