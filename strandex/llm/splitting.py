@@ -102,16 +102,19 @@ def gap_depths(text: str, gaps: list[int], block: int = BLOCK_WORDS) -> list[flo
 def split_text(text: str, limit: int = 2000, overlap: int = 200) -> tuple[str, list[tuple[int, int, int]]]:
     """The kind of boundary used and (start, own_start, end) of each piece: text[start:own_start] repeats the end of the piece before.
 
-    Boundaries of the coarsest kind at which all parts fit are used only. From the start of a piece's own text the window of ends reaches
+    Boundaries of the coarsest kind at which all parts fit are used only; where that is words or none, each window takes the coarsest kind that
+    lies in it, and words only where no other does. From the start of a piece's own text the window of ends reaches
     from LEAST of the limit to the limit less the overlap (to the limit where no boundary lies in it); the deepest valley in it is cut, the
     later of equal ones. The overlap begins at a word where one begins nearby; it is shortened, never the own text, to keep to the limit.
     Pieces' own texts and the blanks between them make up the text again."""
     if len(text) <= limit:
         return KINDS[0], [(0, 0, len(text))] if text else []
     kind, cuts = boundary(text, limit)
-    cuts = [c for c in cuts if c[0] > 0]
-    ends, nexts = [a for a, _ in cuts], [b for _, b in cuts]
-    depths = gap_depths(text, nexts) if kind != "word" and kind != "none" else [0.0] * len(cuts)
+    mixed = kind in ("word", "none")
+    levels = []
+    for cuts in [separators(text, k) for k in KINDS[:-1]] if mixed else [cuts]:
+        cuts = [c for c in cuts if c[0] > 0]
+        levels.append(([a for a, _ in cuts], [b for _, b in cuts], gap_depths(text, [b for _, b in cuts])))
     out: list[tuple[int, int, int]] = []
     own = 0
     while own < len(text):
@@ -119,8 +122,9 @@ def split_text(text: str, limit: int = 2000, overlap: int = 200) -> tuple[str, l
         if len(text) - own <= room or len(text.rstrip()) - own <= room:
             end = following = len(text)
         else:
-            i = 0
-            for low, high in ((own + int(LEAST * limit), own + room), (own + 1, own + room), (own + room + 1, own + limit)):
+            windows = ((own + int(LEAST * limit), own + room), (own + 1, own + room), (own + room + 1, own + limit))
+            groups = [levels[:-1], levels[-1:]] if mixed else [levels]
+            for low, high, (ends, nexts, depths) in ((low, high, level) for group in groups for low, high in windows for level in group):
                 first, last = bisect_left(ends, low), bisect_right(ends, high)
                 if first < last:
                     i = max(range(first, last), key=lambda k: (round(depths[k], 9), k))

@@ -35,6 +35,19 @@ def test_cuts_where_the_topic_changes():
     assert any(abs(p - len(one) * 14) <= 2 for _, p, _ in pieces)
 
 
+def test_a_long_run_leaves_other_cuts_natural():
+    one, two = "The pump pressure valve leaks and the pump valve needs oil. ", "Our budget meeting votes on taxes and the budget income taxes. "
+    prose = (one * 14 + two * 14).strip()
+    for run, kind in (("x7 " * 500, "word"), ("x" * 1500, "none")):
+        text = prose + "\n\n" + run + "\n\n" + prose
+        got, pieces = splitting.split_text(text, 1000, 100)
+        assert got == kind
+        for _, own, _ in pieces[1:]:
+            if own <= len(prose) or own > len(text) - len(prose):
+                assert text[:own].rstrip().endswith(".") or own == len(text) - len(prose)
+        assert any(abs(own - len(one) * 14) <= 2 for _, own, _ in pieces)
+
+
 def test_split_frame(spark):
     df = spark.createDataFrame([(1, "x " * 1500, 7), (2, None, None), (3, "", 1), (4, "short", 1)], "id int, text string, split int").drop("split")
     got = {r["id"]: r["split"] for r in splitting.split_items(df, "text").collect()}
