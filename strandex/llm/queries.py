@@ -46,11 +46,11 @@ def p2_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p2_split(spark, sf_dir).select("item_table", "id", F.col("split.boundary").alias("boundary")).distinct()
+    return p2_split(spark, sf_dir).select("item_table", F.col("id").alias("item_id"), F.col("split.boundary").alias("boundary")).distinct()
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p2_split(spark, sf_dir).select("item_table", "id", F.explode("split.pieces").alias("p")).select("item_table", "id", "p.piece_no", "p.start", "p.own_start", "p.end", "p.text")
+    return p2_split(spark, sf_dir).select("item_table", F.col("id").alias("item_id"), F.explode("split.pieces").alias("p")).select("item_table", "item_id", "p.piece_no", "p.start", "p.own_start", "p.end", "p.text")
 
 
 def _p2_sql() -> str:
@@ -62,7 +62,7 @@ def _p2_sql() -> str:
     }
     cases = " ".join(f"WHEN list_max(list_transform({x}, lambda p: length(p))) <= {LIMIT} THEN '{k}'" for k, x in kinds.items())
     both = " UNION ".join(f"SELECT '{n}' AS item_table, id, display_text AS t FROM {n} WHERE length(display_text) > {LIMIT}" for n in ("sections", "passages"))
-    return f"SELECT DISTINCT item_table, id, CASE {cases} ELSE 'none' END AS boundary FROM ({both})"
+    return f"SELECT DISTINCT item_table, id AS item_id, CASE {cases} ELSE 'none' END AS boundary FROM ({both})"
 
 
 # 3. Look-alikes

@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,30 +61,36 @@ def boundary(text: str, limit: int) -> tuple[str, list[tuple[int, int]]]:
 
 def gap_depths(text: str, gaps: list[int], block: int = BLOCK_WORDS) -> list[float]:
     """Depth of the valley of lexical similarity at each gap: how far the cosine of the two blocks of words before and after a gap lies
-    below the peaks reached by climbing to either side. A text's ends count as similarity 0."""
-    words = [(m.start(), m[0].casefold()) for m in _TOKEN.finditer(text)]
-    starts = [a for a, _ in words]
-    terms = [w for _, w in words]
-    left, right = Counter(), Counter()
+    below the peaks reached by climbing to either side. A text's ends count as similarity 0. Gaps come in order; the time is linear in the text."""
+    found = list(_TOKEN.finditer(text))
+    starts = [m.start() for m in found]
+    number: dict[str, int] = {}
+    terms = [number.setdefault(m[0].casefold(), len(number)) for m in found]
+    # counts of each word in the two blocks, with their dot product and squared lengths carried along: each word enters and leaves either block once
+    left, right = [0] * len(number), [0] * len(number)
+    dot = left_square = right_square = 0
     lo = mid = hi = 0
     scores = []
     for g in gaps:
         at = bisect_left(starts, g)
         a, b = max(0, at - block), min(len(terms), at + block)
-        if a >= mid and at >= hi or not scores:
-            left, right = Counter(terms[a:at]), Counter(terms[at:b])
-        else:
-            for t in terms[mid:at]:
-                left[t] += 1
-            for t in terms[lo:a]:
-                left[t] -= 1
-            for t in terms[mid:min(at, hi)]:
-                right[t] -= 1
-            for t in terms[max(hi, at):b]:
-                right[t] += 1
+        for t in terms[hi:b]:
+            right_square += 2 * right[t] + 1
+            right[t] += 1
+            dot += left[t]
+        for t in terms[mid:at]:
+            right[t] -= 1
+            right_square -= 2 * right[t] + 1
+            dot -= left[t]
+            left_square += 2 * left[t] + 1
+            left[t] += 1
+            dot += right[t]
+        for t in terms[lo:a]:
+            left[t] -= 1
+            left_square -= 2 * left[t] + 1
+            dot -= right[t]
         lo, mid, hi = a, at, b
-        dot = sum(n * right[t] for t, n in left.items() if n)
-        norm = (sum(n * n for n in left.values()) * sum(n * n for n in right.values())) ** 0.5
+        norm = (left_square * right_square) ** 0.5
         scores.append(dot / norm if norm else 0.0)
     peak_left, peak_right = scores[:], scores[:]
     for i in range(1, len(scores)):
@@ -116,10 +119,10 @@ def split_text(text: str, limit: int = 2000, overlap: int = 200) -> tuple[str, l
         cuts = [c for c in cuts if c[0] > 0]
         levels.append(([a for a, _ in cuts], [b for _, b in cuts], gap_depths(text, [b for _, b in cuts])))
     out: list[tuple[int, int, int]] = []
-    own = 0
+    own, used = 0, len(text.rstrip())
     while own < len(text):
         room = limit if not out else limit - overlap
-        if len(text) - own <= room or len(text.rstrip()) - own <= room:
+        if len(text) - own <= room or used - own <= room:
             end = following = len(text)
         else:
             windows = ((own + int(LEAST * limit), own + room), (own + 1, own + room), (own + room + 1, own + limit))

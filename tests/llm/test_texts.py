@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -48,6 +49,46 @@ def test_a_long_run_leaves_other_cuts_natural():
         assert any(abs(own - len(one) * 14) <= 2 for _, own, _ in pieces)
 
 
+def test_gap_depths_by_definition():
+    rng = random.Random(8)
+    words = [rng.choice(["aa", "bb", "cc", "dd", "ee"]) for _ in range(300)]
+    text, starts, at = "", [], 0
+    for w in words:
+        starts.append(len(text))
+        text += w + " "
+    gaps = [g + rng.choice((0, 1)) for g in sorted(rng.sample(starts, 60))]
+    scores = []
+    for g in gaps:
+        at = sum(a < g for a in starts)
+        left, right = words[max(0, at - 20) : at], words[at : at + 20]
+        dot = sum(left.count(w) * right.count(w) for w in set(words))
+        norm = (sum(left.count(w) ** 2 for w in set(words)) * sum(right.count(w) ** 2 for w in set(words))) ** 0.5
+        scores.append(dot / norm if norm else 0.0)
+    want = []
+    for i, x in enumerate(scores):
+        a, b = i, i
+        while a and scores[a - 1] >= scores[a]:
+            a -= 1
+        while b + 1 < len(scores) and scores[b + 1] >= scores[b]:
+            b += 1
+        want.append(scores[a] + scores[b] - 2 * x)
+    assert splitting.gap_depths(text, gaps, 20) == pytest.approx(want)
+
+
+def test_splitting_is_linear():
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(9000)]
+
+    def seconds(n):
+        text = " ".join(rng.choice(vocabulary) + (". A" if rng.random() < 0.1 else "") for _ in range(n))
+        began = time.process_time()
+        splitting.split_text(text)
+        return time.process_time() - began
+
+    seconds(20_000)
+    assert seconds(160_000) < 14 * seconds(20_000) + 0.2
+
+
 def test_split_frame(spark):
     df = spark.createDataFrame([(1, "x " * 1500, 7), (2, None, None), (3, "", 1), (4, "short", 1)], "id int, text string, split int").drop("split")
     got = {r["id"]: r["split"] for r in splitting.split_items(df, "text").collect()}
