@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import keep, ship
 
 # Kinds of span.
 AUTHORED, QUOTED, FORWARDED, SIGNATURE, DISCLAIMER, HEADER = range(6)
@@ -49,11 +49,12 @@ _INNER_STOP = re.compile(r"[.!?…]\s+[^\W\d_a-zà-öø-ÿ]")
 _CLOSING = re.compile(rf"^(?:{CLOSINGS})(?:[ ,]+(?:{CLOSINGS}))?\s*[,.!]?$", re.I)
 _DEVICE = re.compile(rf"^(?:{DEVICE})", re.I)
 _POST = re.compile(rf"^(?:{POSTSCRIPT})\s*[:.\-–]?\s", re.I)
-_POST_SIGN = re.compile(r"^(?:P\. ?S|PS|P\. ?D|PD|P\.? ?P\.? ?S)\b")
+_POST_SIGN = re.compile(r"^(?:P\. ?-? ?S|PS|P\. ?D|PD|P\.? ?P\.? ?S)\b")
 _RULE = re.compile(r"^[-–—_=*~#+. ]{2,}$")
 _PHONE = re.compile(r"^(?:\w{1,12}\.?\s*:?\s*)?\+?[\d(][\d\s()./-]{6,}$")
 _FINAL = re.compile(r"[.!?…:]['\"»”“)]*\s*$")
 _WORDS = re.compile(r"[^\W\d_]+")
+_BLANK = re.compile(r"\n[^\S\n]*\n")
 _GREETING = re.compile(r"^(?:hi|hello|dear|good|hey|bom|boa|boas|ol[áa]|prezad\w*|car[oa]s?|buen\w+|hola|estimad\w+|guten|hallo|lieb\w*|sehr|bonjour|bonsoir|cher\w*|ch[eè]re\w*|salut|ciao|gentil\w*|beste|geachte)\b", re.I)
 
 
@@ -67,8 +68,6 @@ class Line:
     text: str
     marked: bool
     flagged: bool
-    footer: bool
-    heads: bool
 
 
 @dataclass
@@ -93,38 +92,50 @@ def lines_of(sections: list) -> list[Line]:
         if section is None:
             continue
         passages = section.get("passages")
-        label = f"{section.get('id') or ''} {section.get('heading') or ''}".lower()
         for p, passage in enumerate(passages if passages is not None else []):
             for n, raw in enumerate((passage or "").split("\n")):
                 raw = raw.replace("﻿", "").replace("​", "").replace("\xa0", " ").rstrip()
                 m = _MARK.match(raw)
                 marked = bool(m) and (raw.lstrip()[:1] in ">|")
-                out.append(Line(s, p, n, (raw[m.end() :] if m else raw).strip(), marked, section.get("boilerplate") is True, "footer" in label or "disclaimer" in label, "header" in label))
+                out.append(Line(s, p, n, (raw[m.end() :] if m else raw).strip(), marked, section.get("boilerplate") is True))
     return out
 
 
-def intro_end(lines: list[Line], i: int) -> int:
-    """The last line of the introduction of a quotation that begins at line i, or -1. It ends in a colon, names a writing verb and a date or an
-    address, runs over three lines at most and is one sentence."""
-    text = ""
-    for j in range(i, min(i + 4, len(lines))):
-        line = lines[j]
-        if not line.text or line.marked:
-            return -1
-        text = f"{text} {line.text}" if text else line.text
-        if len(text) > 220:
-            return -1
-        if text.endswith(":"):
-            if _VERB.search(text) and (_DATE.search(text) or _EMAIL.search(text)) and not _INNER_STOP.search(text.rstrip(":")):
-                tail = text[[m.end() for m in _VERB.finditer(text)][-1] :]
-                return j if len(_WORDS.findall(tail)) <= 6 else -1
+class Introductions:
+    """Where introductions of quotations end. One ends in a colon, names a writing verb at most six words before it and a date or an address,
+    and is one sentence, over however many lines without a blank or marked one or a header field. Each line is walked over once, whatever its text."""
+
+    def __init__(self, lines: list[Line]):
+        self.lines = lines
+        self.ends = [-1] * len(lines)  # the line with the colon that a sentence from this line reaches
+        self.failed: set[int] = set()  # such lines that no sentence from further down can fit
+        for j, line in enumerate(lines):
+            if line.marked or not line.text.endswith(":") or _INNER_STOP.search(line.text.rstrip(":")):
+                continue
+            self.ends[j] = j
+            for i in range(j - 1, -1, -1):
+                x = lines[i]
+                if not x.text or x.marked or x.text.endswith(":") or _FIELD.match(x.text) or _FORWARD.match(x.text) or _FORWARD_RULE.match(x.text) or _INNER_STOP.search(f"{x.text} {lines[i + 1].text}".rstrip(":")):
+                    break
+                self.ends[i] = j
+
+    def end(self, i: int) -> int:
+        """The last line of the introduction that begins at line i, or -1."""
+        j = self.ends[i]
+        if j < 0 or j in self.failed:
             return -1
-    return -1
+        text = " ".join(x.text for x in self.lines[i : j + 1])
+        verbs = [m.end() for m in _VERB.finditer(text)]
+        if verbs and len(_WORDS.findall(text, verbs[-1])) <= 6 and (_DATE.search(text) or _EMAIL.search(text)):
+            return j
+        self.failed.add(j)  # less text can't do either
+        return -1
 
 
 def blocks_of(lines: list[Line]) -> list[Block]:
     """Blocks: runs of lines between blank lines, changes of mark, and lines with a cue that can begin or end a span."""
     out: list[Block] = []
+    introductions = Introductions(lines)
     blank, i, n = True, 0, len(lines)
     while i < n:
         line = lines[i]
@@ -136,7 +147,7 @@ def blocks_of(lines: list[Line]) -> list[Block]:
             continue
         last = out[-1] if out and not blank else None
         if not line.marked:
-            end = intro_end(lines, i) if last is None or last.marked or last.kind or i and lines[i - 1].passage != line.passage or _EMAIL.search(line.text) or line.text.startswith("--") else -1
+            end = introductions.end(i) if last is None or last.marked or last.kind or i and lines[i - 1].passage != line.passage or _EMAIL.search(line.text) or line.text.startswith("--") else -1
             if end >= 0:
                 out.append(Block(lines[i : end + 1], False, blank, "intro"))
                 i, blank = end + 1, False
@@ -175,12 +186,13 @@ class Model:
         words = [w.lower() for w in _WORDS.findall(text)]
         if not words:
             return 0.0
-        return max(-6.0, min(10.0, sum(self.weights.get(w, -0.8) for w in words) / max(4, len(words)) * 6))
+        return max(-6.0, min(10.0, sum(self.weights.get(w, -0.8) for w in words) / max(8, len(words)) * 6))
 
     def score_blocks(self, blocks: list[Block], sender: str | None) -> None:
         """The score of each block as part of a span of each kind."""
         local = re.sub(r"[^a-z]", "", (sender or "").split("@")[0].lower())
         n = len(blocks)
+        only_fields = True
         for k, b in enumerate(blocks):
             texts = [x.text for x in b.lines if x.text]
             words = sum(len(_WORDS.findall(t)) for t in texts)
@@ -189,6 +201,7 @@ class Model:
             if b.marked:
                 s[AUTHORED], s[QUOTED], s[FORWARDED], s[SIGNATURE], s[DISCLAIMER], s[HEADER] = -12.0, 10.0, 10.0, -12.0, -12.0, -12.0
                 b.scores = s
+                only_fields = False
                 continue
             s[QUOTED] = -10.0
             s[HEADER] = -10.0
@@ -201,14 +214,14 @@ class Model:
                     s[QUOTED] = 8.0
             elif b.kind == "field":
                 s[AUTHORED], s[FORWARDED], s[SIGNATURE], s[DISCLAIMER] = -7.0, 1.0, -6.0, -8.0
-                if all(x.kind == "field" for x in blocks[:k]):
-                    own_header = b.lines[0].heads or not sender or sender.lower() in " ".join(texts).lower()
-                    s[HEADER] = 9.0 if own_header else -5.0
+                if only_fields:
+                    fields = " ".join(texts).lower()
+                    s[HEADER] = 9.0 if not sender or sender.lower() in fields or not _EMAIL.search(fields) else -5.0
             else:
                 flagged = any(x.flagged for x in b.lines)
                 text = " ".join(t for t in texts if not _RULE.match(t))
                 d = self.disclaimer(text)
-                s[DISCLAIMER] = d + (1.5 if b.lines[0].footer else 0.0) + (20.0 if flagged else 0.0)
+                s[DISCLAIMER] = d + (20.0 if flagged else 0.0)
                 first = texts[0]
                 b.post = bool(_POST_SIGN.match(first))
                 own, sign = 1.0 + 0.3 * min(len(texts), 5), 0.0
@@ -255,74 +268,88 @@ class Model:
                         s[AUTHORED] -= 2.0
                 # an earlier message holds what any mail holds
                 s[FORWARDED] = max(s[AUTHORED], s[SIGNATURE], s[DISCLAIMER], s[QUOTED], 0.0) + 0.3
+            only_fields = only_fields and b.kind == "field"
             b.scores = s
 
     def decode(self, blocks: list[Block]) -> list[int]:
         """The kind of each block: the best sequence of spans. A span's score is that of its blocks, of how it begins and ends, of its length
-        and of the whole of it."""
+        and of the whole of it.
+
+        Spans of any length are weighed in time linear in the blocks: of each kind the open spans are carried on as long as the rest of the
+        mail can tell them apart. Those are the best authored, quoted and header span; a forwarded one just begun and the best older one; and
+        for signatures and disclaimers the best span of each number of lines up to that from which every further line costs the same, and,
+        for signatures, of each set of parts (closing, name, contact) seen in it."""
         n = len(blocks)
-        total = [[0.0] * (n + 1) for _ in range(6)]
-        lengths = [0] * (n + 1)
-        closing, contact, named = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        if not n:
+            return []
+        ended: list[list[Span]] = [[NO_SPAN] * 6]
+        plain = [NO_SPAN] * 6  # open spans that need no more than their score
+        fresh, more = NO_SPAN, 0.0  # a forwarded message's first block, and what a second one adds
+        signatures: dict[tuple[int, int], Span] = {}
+        disclaimers: dict[int, Span] = {}
         for k, b in enumerate(blocks):
-            lengths[k + 1] = lengths[k] + len(b.lines)
-            closing[k + 1], contact[k + 1], named[k + 1] = closing[k] + b.closing, contact[k] + b.contact, named[k] + b.named
-            for y in range(6):
-                total[y][k + 1] = total[y][k] + b.scores[y]
-        best = [[-math.inf] * 6 for _ in range(n + 1)]
-        back: list[list[tuple[int, int] | None]] = [[None] * 6 for _ in range(n + 1)]
-        for end in range(1, n + 1):
-            for y in range(6):
-                for start in range(end - 1, -1, -1):
-                    if y == SIGNATURE and end - start > 6 or y == DISCLAIMER and end - start > 12:
-                        break
-                    if y == FORWARDED and not (blocks[start].kind in ("intro", "forward", "field")):
-                        continue
-                    if y == HEADER and start:
-                        continue
-                    v = total[y][end] - total[y][start]
-                    if v < -40:
-                        break
-                    size = lengths[end] - lengths[start]
-                    if y == SIGNATURE:
-                        v -= 0.7 * max(0, size - 9)
-                        if not (closing[end] - closing[start] or contact[end] - contact[start] or named[end] - named[start]):
-                            v -= 6.0
-                        elif closing[end] > closing[start] and named[end] > named[start]:
-                            v += 2.0
-                        if end < n and not (blocks[end].marked or blocks[end].kind or blocks[end].post or blocks[end].scores[DISCLAIMER] > 1):
-                            v -= 1.5
-                    elif y == DISCLAIMER:
-                        v -= 0.4 * max(0, size - 8)
-                    elif y == FORWARDED:
-                        if blocks[start].kind == "intro":
-                            v += -18.0 if any(x.marked for x in blocks[start + 1 : start + 3]) else 7.0 if end - start > 1 else 1.0
-                        else:
-                            v += 7.0
-                        if start == 0 and blocks[0].scores[HEADER] > 0:
-                            v -= 20.0
-                        if end < n:
-                            v -= 3.0 if blocks[end].scores[DISCLAIMER] > 2 else 12.0  # it runs to the end of the mail, or to what the mail system adds
-                    if start == 0:
-                        if v > best[end][y]:
-                            best[end][y], back[end][y] = v, (0, -1)
-                        continue
+            s, size = b.scores, len(b.lines)
+            if k:
+                enter = []
+                for y in range(6):
+                    way = NO_SPAN
                     for x in range(6):
-                        if x == y or best[start][x] == -math.inf:
-                            continue
-                        step = _STEP.get((x, y), 0.0)
-                        if (x, y) in ((SIGNATURE, AUTHORED), (DISCLAIMER, AUTHORED)) and blocks[start].post:
-                            step = 0.0
-                        w = best[start][x] + step + v
-                        if w > best[end][y]:
-                            best[end][y], back[end][y] = w, (start, x)
+                        v = ended[k][x][0]
+                        if x != y and v > -math.inf:
+                            if not (b.post and y == AUTHORED and x in (SIGNATURE, DISCLAIMER)):
+                                v += _STEPS[x][y]
+                            if v > way[0]:
+                                way = (v, k, x)
+                    enter.append(way)
+            else:
+                enter = [(0.0, 0, -1)] * 6
+            for y in (AUTHORED, QUOTED):
+                plain[y] = grown(enter[y] if enter[y][0] >= plain[y][0] else plain[y], s[y])
+            plain[HEADER] = grown(enter[HEADER] if not k else plain[HEADER], s[HEADER])
+            older = max(plain[FORWARDED], grown(fresh, more), key=lambda x: (x[0], x[1]))
+            plain[FORWARDED] = grown(older, s[FORWARDED])
+            fresh = NO_SPAN
+            if b.kind in ("intro", "forward", "field"):
+                begin, more = 7.0, 0.0
+                if b.kind == "intro":
+                    if any(x.marked for x in blocks[k + 1 : k + 3]):
+                        begin = -18.0
+                    else:
+                        begin, more = 1.0, 6.0
+                if not k and b.scores[HEADER] > 0:
+                    begin -= 20.0
+                fresh = grown(enter[FORWARDED], s[FORWARDED] + begin)
+            parts = (1 if b.closing else 0) | (2 if b.named else 0) | (4 if b.contact else 0)
+            open_now = {(min(size, 9), parts): grown(enter[SIGNATURE], s[SIGNATURE] - 0.7 * max(0, size - 9))}
+            begun = open_now[min(size, 9), parts][0]
+            for (z, held), span in signatures.items():
+                span, key = grown(span, s[SIGNATURE] - 0.7 * max(0, z + size - 9)), (min(z + size, 9), held | parts)
+                # one with no more parts than that which begins here, and no better, is never better
+                if not (span[0] <= begun and held | parts == parts) and span[0] > open_now.get(key, NO_SPAN)[0]:
+                    open_now[key] = span
+            signatures = open_now
+            open_parts = {min(size, 8): grown(enter[DISCLAIMER], s[DISCLAIMER] - 0.4 * max(0, size - 8))}
+            begun = open_parts[min(size, 8)][0]
+            for z, span in disclaimers.items():
+                span = grown(span, s[DISCLAIMER] - 0.4 * max(0, z + size - 8))
+                if span[0] > begun and span[0] > open_parts.get(min(z + size, 8), NO_SPAN)[0]:
+                    open_parts[min(z + size, 8)] = span
+            disclaimers = open_parts
+            # what ends after this block
+            after = blocks[k + 1] if k + 1 < n else None
+            ends = list(plain)
+            best = max(plain[FORWARDED], fresh, key=lambda x: (x[0], x[1]))
+            # it runs to the end of the mail, or to what the mail system adds
+            ends[FORWARDED] = grown(best, 0.0 if after is None else -3.0 if after.scores[DISCLAIMER] > 2 else -12.0)
+            cut = 0.0 if after is None or after.marked or after.kind or after.post or after.scores[DISCLAIMER] > 1 else -1.5
+            ends[SIGNATURE] = max((grown(span, cut + (-6.0 if not held else 2.0 if held & 3 == 3 else 0.0)) for (_, held), span in signatures.items()), key=lambda x: (x[0], x[1]))
+            ends[DISCLAIMER] = max(disclaimers.values(), key=lambda x: (x[0], x[1]))
+            ended.append(ends)
         out = [AUTHORED] * n
-        if not n:
-            return out
-        y = max(range(6), key=lambda z: best[n][z])
+        y = max(range(6), key=lambda z: ended[n][z][0])
         end = n
         while end:
-            start, x = back[end][y]  # type: ignore[misc]
+            _, start, x = ended[end][y]
             out[start:end] = [y] * (end - start)
             end, y = start, x
         return out
@@ -342,6 +369,17 @@ _STEP = {
 }
 
 
+_STEPS = [[_STEP.get((x, y), 0.0) for y in range(6)] for x in range(6)]
+
+#: A span: its score with all before it, the block it begins with, the kind of the span before.
+Span = tuple[float, int, int]
+NO_SPAN: Span = (-math.inf, -1, -1)
+
+
+def grown(span: Span, by: float) -> Span:
+    return span[0] + by, span[1], span[2]
+
+
 def _ordered(text: str, local: str) -> bool:
     """Whether the words of a short line, in order, make up the sender's name."""
     at = 0
@@ -356,25 +394,41 @@ def _ordered(text: str, local: str) -> bool:
 
 
 def learn_disclaimers(df: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model whose words are weighed by how much more often they stand in sections flagged as boilerplate than at the beginning of bodies.
+    """A model whose words are weighed by how much more often they stand in sections flagged as boilerplate than in others.
 
-    At most about ``sample`` sections of either kind are read, chosen by the hash of the mail's id; flags may be missing, never wrong."""
-    flagged = df.select("id", F.explode("sections").alias("s")).select("id", F.col("s.boilerplate").alias("flag"), F.concat_ws("\n", "s.passages").alias("text"), F.col("s.heading").alias("heading"))
+    At most about ``sample`` sections of either kind are read, whole, chosen by the hash of the mail's id; flags may be missing, never wrong. As
+    sections without a flag hold disclaimers too, words are counted twice: paragraphs that the first weights take for disclaimers are left
+    out of the second count. Only the counts of the sample's words come to the driver."""
+    flagged = df.select("id", F.explode("sections").alias("s")).select("id", F.col("s.boilerplate").alias("flag"), F.concat_ws("\n", "s.passages").alias("text"))
     flagged = flagged.where(F.length("text") > 0).withColumn("flag", F.coalesce("flag", F.lit(False)))
     counts = {r["flag"]: r["n"] for r in flagged.groupBy("flag").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(True):
         return Model()
     unit = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = flagged.where((F.col("flag") & (unit < min(1.0, sample / counts[True]))) | (~F.col("flag") & (unit < min(1.0, sample / max(1, counts.get(False, 1)))))).select("flag", F.substring("text", 1, 20000).alias("text"))
-    seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    for r in chosen.collect():
-        lines = [x for x in r["text"].split("\n") if not _MARK.match(x) and not _FIELD.match(x)]
-        if not r["flag"]:
-            lines = lines[: max(3, len(lines) // 3)]
-        seen[r["flag"]].update(w.lower() for x in lines for w in _WORDS.findall(x))
-    a, b = sum(seen[True].values()) + 1.0, sum(seen[False].values()) + 1.0
-    words = set(seen[True]) | set(seen[False])
-    return Model({w: max(-4.0, min(4.0, math.log((seen[True][w] + 0.3) / (a + 100)) - math.log((seen[False][w] + 0.3) / (b + 100)))) for w in words})
+    chosen = keep(flagged.where((F.col("flag") & (unit < min(1.0, sample / counts[True]))) | (~F.col("flag") & (unit < min(1.0, sample / max(1, counts.get(False, 1)))))).select("flag", "text"))
+    model = None
+    for _ in range(2):
+        weights = model.weights if model else None
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
+            known = Model(weights) if weights else None
+            for part in parts:
+                for flag, text in part.itertuples(index=False):
+                    for paragraph in _BLANK.split(text):
+                        lines = [x for x in paragraph.split("\n") if not _MARK.match(x) and not _FIELD.match(x)]
+                        if lines and (flag or known is None or known.disclaimer(" ".join(lines)) <= 1.0):
+                            seen[flag].update(w.lower() for x in lines for w in _WORDS.findall(x))
+            yield pd.DataFrame([(flag, w, n) for flag, words in seen.items() for w, n in words.items()], columns=["flag", "w", "n"])
+
+        seen: dict[bool, dict[str, int]] = {True: {}, False: {}}
+        for r in chosen.mapInPandas(run, "flag boolean, w string, n bigint").groupBy("flag", "w").agg(F.sum("n").alias("n")).collect():
+            seen[r["flag"]][r["w"]] = r["n"]
+        a, b = sum(seen[True].values()) + 1.0, sum(seen[False].values()) + 1.0
+        words = set(seen[True]) | set(seen[False])
+        model = Model({w: max(-4.0, min(4.0, math.log((seen[True].get(w, 0) + 0.3) / (a + 100)) - math.log((seen[False].get(w, 0) + 0.3) / (b + 100)))) for w in words})
+    chosen.unpersist()
+    return model
 
 
 _READY: dict[str, Model] = {}

@@ -1,3 +1,4 @@
+import itertools
 import random
 import time
 
@@ -340,6 +341,81 @@ def test_keys_agree(spark):
 
 # Mails
 
+def span_score(blocks, start, end, y):
+    """The score of one span, by its definition."""
+    part = blocks[start:end]
+    size, after = sum(len(b.lines) for b in part), blocks[end] if end < len(blocks) else None
+    v = sum(b.scores[y] for b in part)
+    if y == mails.SIGNATURE:
+        closing, named, contact = (any(getattr(b, a) for b in part) for a in ("closing", "named", "contact"))
+        v += -0.7 * max(0, size - 9) + (2.0 if closing and named else 0.0 if closing or named or contact else -6.0)
+        v -= 0.0 if after is None or after.marked or after.kind or after.post or after.scores[mails.DISCLAIMER] > 1 else 1.5
+    elif y == mails.DISCLAIMER:
+        v -= 0.4 * max(0, size - 8)
+    elif y == mails.FORWARDED:
+        if not part[0].kind:
+            return -1e9
+        v += 7.0 if part[0].kind != "intro" else -18.0 if any(b.marked for b in blocks[start + 1 : start + 3]) else 7.0 if end - start > 1 else 1.0
+        v -= 20.0 if not start and blocks[0].scores[mails.HEADER] > 0 else 0.0
+        v -= 0.0 if after is None else 3.0 if after.scores[mails.DISCLAIMER] > 2 else 12.0
+    elif y == mails.HEADER and start:
+        return -1e9
+    return v
+
+
+def score_of(blocks, kinds):
+    total, start, before = 0.0, 0, None
+    for k in range(1, len(kinds) + 1):
+        if k == len(kinds) or kinds[k] != kinds[start]:
+            y = kinds[start]
+            if before is not None and not (blocks[start].post and y == mails.AUTHORED and before in (mails.SIGNATURE, mails.DISCLAIMER)):
+                total += mails._STEP.get((before, y), 0.0)
+            total, start, before = total + span_score(blocks, start, k, y), k, y
+    return total
+
+
+def random_blocks(rng, n):
+    line = mails.Line(0, 0, 0, "x", False, False)
+    out = []
+    for _ in range(n):
+        b = mails.Block([line] * rng.choice([1, 2, 5, 12]), rng.random() < 0.3, kind=rng.choice(["", "", "", "intro", "forward", "field"]))
+        b.scores = [rng.uniform(-9, 9) for _ in range(6)]
+        b.closing, b.contact, b.named, b.post = (int(rng.random() < 0.4) for _ in range(4))
+        out.append(b)
+    return out
+
+
+def test_mail_decoding_against_all_sequences():
+    rng = random.Random(10)
+    for _ in range(60):
+        blocks = random_blocks(rng, rng.randrange(1, 6))
+        best = max(score_of(blocks, kinds) for kinds in itertools.product(range(6), repeat=len(blocks)))
+        assert score_of(blocks, mails.Model().decode(blocks)) == pytest.approx(best)
+
+
+def test_mail_decoding_is_linear():
+    rng = random.Random(11)
+
+    def seconds(n):
+        blocks = random_blocks(rng, n)
+        began = time.process_time()
+        mails.Model().decode(blocks)
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 14 * seconds(2000) + 0.2
+
+
+def test_long_introductions_and_long_signatures():
+    intro = [f"On Monday 3 March 2025, after the part{k} of the" for k in range(9)] + ["meeting, Ann Berg wrote:"]
+    lines = [mails.Line(0, 0, k, t, False, False) for k, t in enumerate(intro)]
+    assert mails.Introductions(lines).end(0) == 9
+    many = [mails.Line(0, 0, k, "see mail a@b.example again and", False, False) for k in range(30_000)] + [mails.Line(0, 0, 0, "again:", False, False)]
+    began = time.process_time()
+    found = mails.Introductions(many)
+    assert all(found.end(i) == -1 for i in range(len(many))) and time.process_time() - began < 5
+
+
 
 def written(text, sender="ann.lee@x.example", boilerplate=None):
     m = mails.Model({"confidential": 3.0, "addressee": 3.0, "prohibited": 3.0, "copying": 3.0, "meant": 2.0, "permission": 2.0, "printing": 2.0, "office": 1.0})
