@@ -1,13 +1,14 @@
 """Byte-level BPE as a streaming transducer with bounded look-ahead.
 
-Text is read in blocks. Pre-tokens (runs of letters, digits, other signs or blanks) become stable once the characters that can still
-change them have been seen; the tail of a block that may still change is held back. A run longer than ``LONG`` bytes is not gathered:
-its bytes go through :class:`RunTransducer`, which emits tokens as soon as no continuation can change them.
+Every text is read in blocks of any size. Pre-tokens (runs of letters, digits, other signs or blanks) end once the characters that can still
+change them have been seen; the tail of a block that may still change is held back. The bytes of each run go through
+:class:`RunTransducer`, which emits tokens as soon as no continuation can change them; what it made of a short run is kept in a bounded memo.
 
 The transducer rests on a property of merge lists: a token sequence is the encoding of its text exactly when each adjacent pair is the
 encoding of the pair's text. So each prefix of a run has one possible last token, and a token boundary is stable when the chains of last
 tokens from every prefix end that the next bytes can still build on pass through it. ``sufficient_lookahead`` bounds how many bytes that
 takes for a merge list: the longest token times the longest chain of merges in which each merge can take the left part of the next away.
+Boundaries with so many bytes behind them are emitted as they are, nearer ones when the chains show it, so no more than the bound is held.
 """
 
 from __future__ import annotations
@@ -15,17 +16,17 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import re
 
-#: Runs of more bytes than this go through the transducer byte by byte; shorter ones are encoded at once and kept in a bounded memo.
-LONG = 192
 #: Characters read at a time.
-BLOCK = 1 << 16
-#: Entries of the memo of short pre-tokens; it is emptied when full.
-MEMO = 400_000
+BLOCK = 1 << 13
+#: Characters of an unfinished pre-token that are held before its bytes go on to the transducer.
+HELD = 1 << 10
+#: Entries of the memo of runs and of that of pairs, which are emptied when full, and the longest run that is kept, in characters.
+MEMO, KEPT = 400_000, 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -75,7 +76,13 @@ class MergeList:
         self.rank = {m: r for r, m in enumerate(merges)}
         self.longest = max((len(a) + len(b) for a, b in merges), default=1)
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
-        self._short: dict[bytes, tuple[bytes, ...]] = {}
+        # tokens that are the encoding of their own bytes, and their lengths by last byte, the longest first
+        self.whole = {t for t in ids if len(t) == 1 or self.merged(t) == (t,)}
+        sizes: dict[int, set[int]] = {}
+        for t in self.whole:
+            sizes.setdefault(t[-1], set()).add(len(t))
+        self.sizes = {end: tuple(sorted(found, reverse=True)) for end, found in sizes.items()}
+        self.lookahead = self.sufficient_lookahead()
 
     @classmethod
     def load(cls, path: str) -> MergeList:
@@ -89,8 +96,8 @@ class MergeList:
         made = {bytes([b]) for b in range(256)} | {a + b for a, b in merges}
         return cls({raw[t]: i for t, i in model["vocab"].items() if t in raw and raw[t] in made}, merges)
 
-    def encode_short(self, data: bytes) -> tuple[bytes, ...]:
-        """Tokens of a short run: the merge of lowest rank first, the leftmost of equal ones first."""
+    def merged(self, data: bytes) -> tuple[bytes, ...]:
+        """Tokens of the bytes of one or two tokens, by the merges themselves: the one of lowest rank first, the leftmost of equal ones first."""
         parts = [data[i : i + 1] for i in range(len(data))]
         rank = self.rank
         while len(parts) > 1:
@@ -115,7 +122,7 @@ class MergeList:
         if got is None:
             if len(self._pairs) > MEMO:
                 self._pairs.clear()
-            got = self._pairs[a, b] = self.encode_short(a + b) == (a, b)
+            got = self._pairs[a, b] = self.merged(a + b) == (a, b)
         return got
 
     def sufficient_lookahead(self) -> int:
@@ -140,58 +147,71 @@ class MergeList:
 class RunTransducer:
     """Encodes one run byte by byte. ``feed`` returns the tokens that became stable, ``finish`` the rest.
 
-    ``last[i]`` is the length of the last token of the prefix that ends at byte i. Only bytes behind the last emitted boundary are held."""
+    ``last[i]`` is the length of the last token of the prefix that ends at byte i. Only bytes behind the last emitted boundary are held: fewer
+    than the merge list's look-ahead, one token and what one call of ``feed`` brings."""
 
     def __init__(self, merges: MergeList):
         self.m = merges
-        self.data = bytearray()
+        self.data = b""
         self.last: list[int] = [0]
         self.before: bytes | None = None  # the token before the held bytes
 
     def feed(self, data: bytes) -> list[bytes]:
-        m, held = self.m, self.data
+        m, last, whole = self.m, self.last, self.m.whole
+        pairs, adjacent = m._pairs, m.adjacent
+        n = len(self.data)
+        held = self.data = self.data + data
         for value in data:
-            held.append(value)
-            n = len(held)
-            for size in range(min(n, m.longest), 0, -1):
-                token = bytes(held[n - size : n])
-                if token not in m.ids:
-                    continue
+            n += 1
+            for size in m.sizes[value]:
                 at = n - size
-                left = self.before if at == 0 else bytes(held[at - self.last[at] : at]) if self.last[at] else None
-                if at and left is None:
+                if at < 0:
+                    continue
+                token = held[at:n]
+                if token not in whole:
                     continue
-                if (size == 1 or m.encode_short(token) == (token,)) and (left is None or m.adjacent(left, token)):
-                    self.last.append(size)
+                left = held[at - last[at] : at] if at else self.before
+                if left is None or (adjacent(left, token) if (left, token) not in pairs else pairs[left, token]):
+                    last.append(size)
                     break
             else:
                 raise AssertionError("a single byte always fits")
         return self._stable()
 
     def _stable(self) -> list[bytes]:
+        """The tokens up to the last stable boundary: those with the look-ahead behind them, or on the chains of all the ends that a next token can begin at."""
         n = len(self.data)
         if n < 2 * self.m.longest:
             return []
+        low = n - self.m.longest
         common: set[int] | None = None
-        for end in range(n - self.m.longest + 1, n + 1):
+        for end in range(low + 1, n + 1):
             cuts, i = set(), end
             while i:
-                cuts.add(i)
+                if common is None or i in common:
+                    cuts.add(i)
                 i -= self.last[i]
-            common = cuts if common is None else common & cuts
+            common = cuts
             if not common:
-                return []
-        return self._take(max(common))
+                break
+        if common:
+            return self._take(max(common))
+        if n <= self.m.lookahead:
+            return []
+        i = n
+        while n - i < self.m.lookahead and i:
+            i -= self.last[i]
+        return self._take(i)
 
     def _take(self, upto: int) -> list[bytes]:
         out, i = [], upto
         while i:
-            out.append(bytes(self.data[i - self.last[i] : i]))
+            out.append(self.data[i - self.last[i] : i])
             i -= self.last[i]
         out.reverse()
         if out:
             self.before = out[-1]
-            del self.data[:upto]
+            self.data = self.data[upto:]
             self.last = [0, *self.last[upto + 1 :]]
         return out
 
@@ -200,40 +220,42 @@ class RunTransducer:
 
 
 class _Memo(dict):
-    """Ids of short pre-tokens, computed when missing; bounded."""
+    """Ids of runs, made by the transducer when missing; short ones are kept, up to a bound."""
 
     def __init__(self, merges: MergeList):
         super().__init__()
         self.merges = merges
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= MEMO:
-            self.clear()
+        ids, run = self.merges.ids, RunTransducer(self.merges)
         data = piece.encode("utf-8", "surrogatepass")
-        if len(data) > LONG:
-            run = RunTransducer(self.merges)
-            tokens = run.feed(data) + run.finish()
-            return tuple(self.merges.ids[t] for t in tokens)  # not kept
-        ids = self.merges.ids
-        got = self[piece] = (ids[data],) if data in ids and self.merges.encode_short(data) == (data,) else tuple(ids[t] for t in self.merges.encode_short(data))
+        tokens = []
+        for at in range(0, len(data), BLOCK):
+            tokens += run.feed(data[at : at + BLOCK])
+        got = tuple(ids[t] for t in tokens + run.finish())
+        if len(piece) <= KEPT:
+            if len(self) >= MEMO:
+                self.clear()
+            self[piece] = got
         return got
 
 
 class Encoder:
-    """Streaming encoder: ``encode`` takes a whole text or its blocks in order."""
+    """Streaming encoder: ``stream`` takes the blocks of a text in order, ``encode`` and ``count`` a whole text, which they cut into blocks."""
 
     def __init__(self, merges: MergeList):
         self.merges = merges
         self.memo = _Memo(merges)
 
-    def encode(self, text: str) -> list[int]:
-        if len(text) <= BLOCK:
-            return list(chain.from_iterable(map(self.memo.__getitem__, PIECES.findall(text))))
-        return list(self.stream(text[i : i + BLOCK] for i in range(0, len(text), BLOCK)))
+    def encode(self, text: str, block: int = 0) -> list[int]:
+        return list(chain.from_iterable(self.stream(_blocks(text, block or BLOCK))))
+
+    def count(self, text: str, block: int = 0) -> int:
+        return sum(map(len, self.stream(_blocks(text, block or BLOCK))))
 
-    def stream(self, blocks: Iterable[str]) -> Iterator[int]:
-        """Ids of the text that the blocks make up. Held back: the last two pre-tokens of what was read, or, of a long run, what the
-        transducer holds and one blank."""
+    def stream(self, blocks: Iterable[str]) -> Iterator[Sequence[int]]:
+        """Ids, in short sequences, of the text that the blocks make up. Held back: the last two pre-tokens of what was read, or, of a run longer
+        than HELD, what the transducer holds and one blank."""
         tail = ""
         run: tuple[re.Pattern, RunTransducer] | None = None
         memo, ids = self.memo, self.merges.ids
@@ -249,30 +271,33 @@ class Encoder:
                 if kind is BLANK:
                     # the last blank of a run belongs to what follows, if anything does
                     body, text = body[:-1], body[-1:] + text
-                yield from (ids[t] for t in open_run.feed(body.encode("utf-8", "surrogatepass")))
+                yield [ids[t] for t in open_run.feed(body.encode("utf-8", "surrogatepass"))]
                 if not text or (kind is BLANK and len(text) == 1):
                     tail = text
                     continue
-                yield from (ids[t] for t in open_run.finish())
+                yield [ids[t] for t in open_run.finish()]
                 run = None
             pieces = PIECES.findall(text)
             held = pieces[-2:]
-            yield from chain.from_iterable(map(memo.__getitem__, pieces[:-2]))
+            yield from map(memo.__getitem__, pieces[:-2])
             tail = "".join(held)
-            if held and len(held[-1]) > max(3, BLOCK // 4):  # too long for a contraction
-                yield from chain.from_iterable(map(memo.__getitem__, held[:-1]))
+            if held and len(held[-1]) > HELD:
+                yield from map(memo.__getitem__, held[:-1])
                 body = held[-1]
                 kind = next((k for k in (LETTER, DIGIT, BLANK) if k.match(body, len(body) - 1)), OTHER)
                 open_run = RunTransducer(self.merges)
                 tail = body[-1] if kind is BLANK else ""
-                yield from (ids[t] for t in open_run.feed((body[:-1] if kind is BLANK else body).encode("utf-8", "surrogatepass")))
+                yield [ids[t] for t in open_run.feed((body[:-1] if kind is BLANK else body).encode("utf-8", "surrogatepass"))]
                 run = kind, open_run
         if run:
             kind, open_run = run
-            yield from (ids[t] for t in open_run.feed(tail.encode("utf-8", "surrogatepass")))
-            yield from (ids[t] for t in open_run.finish())
+            yield [ids[t] for t in open_run.feed(tail.encode("utf-8", "surrogatepass")) + open_run.finish()]
             tail = ""
-        yield from chain.from_iterable(map(memo.__getitem__, PIECES.findall(tail)))
+        yield from map(memo.__getitem__, PIECES.findall(tail))
+
+
+def _blocks(text: str, size: int) -> Iterator[str]:
+    return (text[i : i + size] for i in range(0, len(text), size))
 
 
 class _Other:

@@ -54,10 +54,9 @@ def count_tokens(df: DataFrame, text_col: str, into: str = "n_tokens", path: str
     out = T.StructType([*(df.schema[c] for c in others), T.StructField(into, T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = bpe_stream.encoder(where)
-        memo, split, block = made.memo, bpe_stream.PIECES.findall, bpe_stream.BLOCK
+        count = bpe_stream.encoder(where).count
         for batch in batches:
-            n = [0 if not t else sum(map(len, map(memo.__getitem__, split(t)))) if len(t) <= block else sum(1 for _ in made.stream(t[i : i + block] for i in range(0, len(t), block))) for t in batch.column(len(others)).to_pylist()]
+            n = [count(t) if t else 0 for t in batch.column(len(others)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(n, pa.int64())], names=[*others, into])
 
     return df.select(*others, text_col).mapInArrow(run, out)

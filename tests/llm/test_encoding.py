@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -29,26 +30,46 @@ def test_like_public_tokenizer(made, public, text):
     assert made.encode(text) == public(text)
 
 
-@pytest.mark.parametrize("block", [1, 7, 64, 500])
-def test_stream_does_not_depend_on_blocks(made, public, block, monkeypatch):
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 64, 500])
+@pytest.mark.parametrize("held", [3, 40, 1024])
+def test_ids_do_not_depend_on_blocks(made, public, block, held, monkeypatch):
     rng = random.Random(block)
-    texts = ["".join(rng.choice("ab t\n'reé1²_-　😀the") for _ in range(rng.randint(1, 2500))) for _ in range(20)] + ODD
-    monkeypatch.setattr(bpe_stream, "BLOCK", max(block, 4))
+    texts = ["".join(rng.choice("ab t\n'reé1²_-　😀the") for _ in range(rng.randint(1, 1500))) for _ in range(8)] + ODD
+    monkeypatch.setattr(bpe_stream, "HELD", held)
     for t in texts:
-        assert list(made.stream(t[i : i + block] for i in range(0, len(t), block))) == public(t)
+        assert made.encode(t, block) == public(t)
+        assert made.count(t, block) == len(public(t))
 
 
-def test_run_transducer_holds_little_and_is_exact(made, public):
+@pytest.mark.parametrize("alphabet", ["etaoinshrdlu", "a", "ab", "0123456789", "-=", " ", "é中😀"])
+def test_run_transducer_holds_little_and_is_exact(made, public, alphabet):
     rng = random.Random(5)
-    text = "".join(rng.choice("etaoinshrdlu") for _ in range(6000))
+    text = "".join(rng.choice(alphabet) for _ in range(4000))
     run, out = bpe_stream.RunTransducer(made.merges), []
     most = 0
-    for i in range(0, len(text), 50):
-        out += run.feed(text[i : i + 50].encode())
+    data = text.encode()
+    for i in range(0, len(data), 50):
+        out += run.feed(data[i : i + 50])
         most = max(most, len(run.data))
     out += run.finish()
-    assert [made.merges.ids[t] for t in out] == public(text)
-    assert most <= 4 * made.merges.longest + 50 <= made.merges.sufficient_lookahead()
+    assert b"".join(out) == data and all(made.merges.adjacent(a, b) for a, b in zip(out, out[1:]))
+    if alphabet not in ("é中😀",):
+        assert [made.merges.ids[t] for t in out] == public(text)
+    assert most <= made.merges.lookahead + made.merges.longest + 50
+
+
+def test_the_lookahead_alone_is_enough():
+    """A small merge list: tokens are emitted by the computed look-ahead, not only where the chains agree, and no text shows it too short."""
+    merges = [(b"a", b"b"), (b"b", b"c"), (b"c", b"a"), (b"ab", b"c"), (b"a", b"a"), (b"aa", b"a")]
+    ids = {bytes([i]): i for i in range(256)} | {a + b: 256 + k for k, (a, b) in enumerate(merges)}
+    m = bpe_stream.MergeList(ids, merges)
+    for n in range(1, 9):
+        for letters in itertools.product(b"abc", repeat=n):
+            data = bytes(letters)
+            run = bpe_stream.RunTransducer(m)
+            out = [t for i in range(n) for t in run.feed(data[i : i + 1])]
+            assert len(run.data) <= m.lookahead + m.longest
+            assert tuple(out + run.finish()) == m.merged(data)
 
 
 @settings(max_examples=150, deadline=None)
