@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, keep
@@ -82,31 +82,21 @@ def author_key(author: Column) -> Column:
     return F.when(~key.isin(*PLACEHOLDERS), key)
 
 
-def assign_splits(groups: DataFrame, group_col: str, targets: DataFrame, seed: str = "split-1", giant: float = 0.01) -> DataFrame:
+def assign_splits(groups: DataFrame, group_col: str, targets: DataFrame, seed: str = "split-1") -> DataFrame:
     """groups with a column ``split``: the range of [0, 1) in which the hash of the row's group id falls.
 
-    Hashing whole groups meets the shares only when groups are small. So groups that hold more than ``giant`` of all rows (fewer than
-    1/giant of them) go to the split of the largest share as far as they fit into it, the largest first, and the ranges of the rest make
-    up for them. Shares are scaled to sum to 1; without any target the split is null. Rows with a null group get no split."""
+    The ranges follow from the targets alone, in the order of their names, so a group keeps its split whatever else is added and however large it
+    or others grow. Whole groups are hashed: a group with a part of all rows moves the splits' sizes by up to that part, so shares are met
+    as closely as the largest groups are small. Shares are scaled to sum to 1; targets of one name count together; without any the split is
+    null. Rows with a null group get no split."""
     shares = [(r["target_name"], r["s"]) for r in targets.where((F.col("target_share") > 0) & F.col("target_name").isNotNull()).groupBy("target_name").agg(F.sum("target_share").alias("s")).collect()]
     if not shares:
         return groups.withColumn("split", F.lit(None).cast("string"))
     whole = sum(s for _, s in shares)
-    shares = sorted(((s / whole, n) for n, s in shares), key=lambda x: (-x[0], x[1]))
-    sizes = groups.where(F.col(group_col).isNotNull()).groupBy(group_col).agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    big = sizes.where((F.col("n") > giant * total) & (F.col("n") > 1)).collect()  # fewer than 1 / giant rows
-    placed, held = [], 0.0
-    for r in sorted(big, key=lambda r: (-r["n"], str(r[group_col]))):
-        if held + r["n"] / total <= shares[0][0]:
-            placed.append(r[group_col])
-            held += r["n"] / total
-    left = [((s - held * (k == 0)) / max(1 - held, 1e-12), n) for k, (s, n) in enumerate(shares)]
     u = md5_unit(F.concat_ws("|", F.lit(seed), F.col(group_col).cast("string")))
-    split, high = F.lit(left[-1][1]), 1 - left[-1][0]
-    for s, n in reversed(left[:-1]):
-        split = F.when(u < high, F.lit(n)).otherwise(split)
-        high -= s
-    if placed:
-        split = F.when(F.col(group_col).isin(placed), F.lit(shares[0][1])).otherwise(split)
-    return groups.withColumn("split", F.when(F.col(group_col).isNotNull(), split))
+    split, high = None, 0.0
+    for name, share in sorted(shares)[:-1]:
+        high += share / whole
+        split = F.when(u < high, F.lit(name)) if split is None else split.when(u < high, F.lit(name))
+    last = F.lit(sorted(shares)[-1][0])
+    return groups.withColumn("split", F.when(F.col(group_col).isNotNull(), last if split is None else split.otherwise(last)))

@@ -12,6 +12,9 @@ BINS = 4096
 #: Texts of fewer tokens than this get inclusion odds in proportion to their length.
 SHORT = 64
 
+#: Listed sources at most, as their rows are sent to all executors.
+LISTED = 100_000
+
 
 def mixture(sizes: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", size_col: str = "n_tokens",
             share_col: str = "target_share", cap_col: str = "max_repeats", total: float | None = None, short: int = SHORT, seed: int = 8) -> DataFrame:
@@ -31,13 +34,18 @@ def mixture(sizes: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", sou
     source, so a source that holds most rows is never gathered in one task. Broadcast: one row a listed source."""
     listed = (targets.where((F.col(share_col) > 0) & (F.col(cap_col) > 0) & F.col(source_col).isNotNull())
               .groupBy(F.col(source_col).alias("_s")).agg(F.sum(share_col).alias("_share"), F.max(cap_col).cast("double").alias("_cap")))
+    if listed.count() > LISTED:
+        raise ValueError(f"more than {LISTED} listed sources")
     docs = (sizes.where(F.col(id_col).isNotNull() & (F.col(size_col) > 0))
             .select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), F.col(size_col).cast("bigint").alias("_n"))
             .groupBy("_id").agg(F.min(F.struct("_src", "_n")).alias("_r")).select("_id", F.col("_r._src").alias("_src"), F.col("_r._n").alias("_n"))
             .withColumn("_w", F.least(F.lit(1.0), F.col("_n") / F.lit(float(max(short, 1))))))
     docs = keep(docs)
     # as many rows as there are listed sources
-    by_source = (docs.groupBy("_src").agg(F.sum(F.col("_w") * F.col("_n")).alias("_weighed"))
+    # summed as whole numbers, so that no order of the rows changes the last digits and with them a cut
+    least = float(max(short, 1))
+    weighed = F.sum((F.least(F.col("_n").cast("double"), F.lit(least)).cast("decimal(18,0)") * F.col("_n").cast("decimal(18,0)")).cast("decimal(38,0)"))
+    by_source = (docs.groupBy("_src").agg((weighed.cast("double") / F.lit(least)).alias("_weighed"))
                  .join(F.broadcast(listed), F.col("_src") == F.col("_s")).where(F.col("_weighed") > 0))
     every = Window.partitionBy(F.lit(0))
     plan = by_source.withColumn("_part", F.col("_share") / F.sum("_share").over(every))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import encoding, grouping, language, lookalikes, mails, mixing, sampling, scanning, splitting
@@ -109,22 +109,55 @@ def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # 5. Reproducible sample
 
+SAMPLED = (("eval_queries", "query_id", "coalesce(size(qrels), 0)"), ("manifest", "id", "coalesce(minimum_characters, 0)"))
 
-def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def _p5(spark: SparkSession, sf_dir: str, weighted: bool = False, resumed: int | None = None) -> DataFrame:
     targets = table(spark, sf_dir, "eval_targets").where("purpose = 'sample'")
     out = None
-    for name, key in (("eval_queries", "query_id"), ("manifest", "id")):
+    for name, key, weight in SAMPLED:
         share = targets.where(F.col("target_name") == name).select("target_share")
-        got = sampling.consistent_sample(table(spark, sf_dir, name), key, share, batch_col="batch_no", seed=name)
+        rows, state = table(spark, sf_dir, name), None
+        how = {"batch_col": "batch_no", "seed": name}
+        if weighted:
+            rows, how = rows.withColumn("weight", F.expr(weight)), how | {"weight_col": "weight"}
+        if resumed is not None:
+            state = sampling.inclusions(rows.where(F.col("batch_no") <= resumed), key, share, **how)
+            rows = rows.where(F.col("batch_no") > resumed)
+        got = sampling.consistent_sample(rows, key, share, state=state, **how)
         got = got.select(F.lit(name).alias("item_table"), F.col(key).cast("string").alias("item_id"), F.col("selected_at").alias("batch_no"))
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p5(spark, sf_dir)
+
+
+def p5_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries weighed by their judgments, files by the characters expected of them."""
+    return _p5(spark, sf_dir, weighted=True)
+
+
+def p5_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample of a run that gets the batches after the third only, and the state that the run before left."""
+    return _p5(spark, sf_dir, resumed=3)
+
+
 def _p5_sql() -> str:
     part = ("SELECT '{t}' AS item_table, CAST({k} AS VARCHAR) AS item_id, CAST(min(batch_no) AS BIGINT) AS batch_no FROM {t} WHERE {k} IS NOT NULL GROUP BY {k} "
             "HAVING CAST(('0x' || substr(md5('{t}|' || CAST({k} AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0 < (SELECT max(target_share) FROM eval_targets WHERE purpose = 'sample' AND target_name = '{t}')")
-    return " UNION ALL ".join(part.format(t=t, k=k) for t, k in (("eval_queries", "query_id"), ("manifest", "id")))
+    return " UNION ALL ".join(part.format(t=t, k=k) for t, k, _ in SAMPLED)
+
+
+def _p5_weighted_sql() -> str:
+    """Every id at every batch from its first on, with its largest weight so far."""
+    weights = {"eval_queries": "coalesce(len(qrels), 0)", "manifest": "coalesce(minimum_characters, 0)"}
+    part = """SELECT '{t}' AS item_table, CAST(i AS VARCHAR) AS item_id, min(b) AS batch_no FROM (
+SELECT i, b, w, (SELECT max(target_share) FROM eval_targets WHERE purpose = 'sample' AND target_name = '{t}') / (sum(w) OVER (PARTITION BY b) / count(*) OVER (PARTITION BY b)) AS c FROM (
+SELECT r.i, x.b, CAST(max(r.w) AS DOUBLE) AS w FROM (SELECT {k} AS i, batch_no, {w} AS w FROM {t} WHERE {k} IS NOT NULL) r JOIN (SELECT DISTINCT CAST(batch_no AS BIGINT) AS b FROM {t}) x ON r.batch_no <= x.b GROUP BY r.i, x.b))
+WHERE CAST(('0x' || substr(md5('{t}|' || CAST(i AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0 < least(1.0, w * c) GROUP BY i"""
+    return " UNION ALL ".join(part.format(t=t, k=k, w=weights[t]) for t, k, _ in SAMPLED)
 
 
 # 6. Splits
@@ -204,6 +237,13 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.reached_shares(p8_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, near_share, within_cap) of each listed source with text: whether its share is near its target among those, and no document beyond its cap."""
+    shares = p8_shares(spark, sf_dir).where("tokens > 0")
+    every = Window.partitionBy(F.lit(0))  # one row a listed source
+    return shares.select("source", (F.abs(F.col("share") - F.col("target_share") / F.sum("target_share").over(every)) < 0.02).alias("near_share"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"))
+
+
 # 9. Languages
 
 
@@ -224,11 +264,12 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_authored": p1_authored, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_sample": p5_sample, "p6_found": p6_found, "p6_splits": p6_splits,
-    "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
+    "p1_found": p1_found, "p1_authored": p1_authored, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_sample": p5_sample, "p5_weighted": p5_weighted, "p5_resumed": p5_resumed, "p6_found": p6_found, "p6_splits": p6_splits,
+    "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_kept": p8_kept,
     "p9_found": p9_found, "p9_languages": p9_languages, "p9_segments": p9_segments,
 }
 
 
 def sql() -> dict[str, str]:
-    return {"p2_found": _p2_sql(), "p3_found": _p3_sql(), "p5_sample": _p5_sql(), "p6_found": _p6_sql(), "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+    return {"p2_found": _p2_sql(), "p3_found": _p3_sql(), "p5_sample": _p5_sql(), "p5_weighted": _p5_weighted_sql(), "p5_resumed": _p5_sql(), "p6_found": _p6_sql(), "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+            "p8_kept": "SELECT DISTINCT source, true AS near_share, true AS within_cap FROM mix_targets JOIN documents USING (source) WHERE target_share > 0 AND max_repeats > 0 AND length(text) > 0"}

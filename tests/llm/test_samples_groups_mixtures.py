@@ -36,6 +36,23 @@ def test_sample_keeps_what_was_selected(spark, weighted):
         before = now
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_state_keeps_what_was_selected(spark, weighted):
+    """A later run with a lower share, with other weights and with the new batches only still has all earlier ids."""
+    rng = random.Random(7)
+    rows = [(i, b, rng.choice([0.5, 1.0, 3.0]), None) for i in range(300) for b in range(4) if rng.random() < 0.4]
+    how = {"batch_col": "batch", "weight_col": "w" if weighted else None}
+    first = sampling.inclusions(frame(spark, [r for r in rows if r[1] < 2]), "id", 0.3, **how)
+    before = {r["id"]: r["selected_at"] for r in first.where("selected_at is not null").collect()}
+    heavier = [(i, b, 100.0 if i > 250 else w, x) for i, b, w, x in rows if b >= 2]
+    for later in (heavier, heavier[:3], []):
+        got = {r["id"]: r["selected_at"] for r in sampling.consistent_sample(frame(spark, later), "id", 0.05, state=first, **how).collect()}
+        assert all(got[i] == at for i, at in before.items())
+    again = {r["id"] for r in sampling.consistent_sample(frame(spark, rows), "id", 0.3, state=first, **how).collect()}
+    assert set(before) <= again and len(again) > len(before)
+    assert sampling.inclusions(first.limit(0).select("id", F.lit(1).alias("batch"), F.lit(1.0).alias("w")), "id", 0.3, state=first, **how).count() == first.count()
+
+
 def test_weighted_sample_against_plain_python(spark):
     rng = random.Random(3)
     rows = [(i, b, rng.choice([0.5, 1.0, 3.0, None]), None) for i in range(120) for b in range(3) if rng.random() < 0.5]
@@ -107,12 +124,17 @@ def test_components_of_nothing(spark):
 
 def test_splits(spark):
     targets = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1), (None, 0.4), ("none", 0.0)], "target_name string, target_share double")
-    rows = [(f"g{i // 3}",) for i in range(3000)] + [("giant",)] * 900 + [(None,)]
+    rows = [(f"g{i // 3}",) for i in range(6000)] + [(None,)]
     got = grouping.assign_splits(spark.createDataFrame(rows, "g string"), "g", targets)
     shares = {r["split"]: r["count"] for r in got.groupBy("split").count().collect()}
     assert got.where("g is not null").groupBy("g").agg(F.count_distinct("split").alias("n")).where("n <> 1").count() == 0
-    assert shares[None] == 1 and abs(shares["train"] / 3900 - 0.8) < 0.03 and abs(shares["test"] / 3900 - 0.1) < 0.03
+    assert shares[None] == 1 and abs(shares["train"] / 6000 - 0.8) < 0.03 and abs(shares["test"] / 6000 - 0.1) < 0.03
     assert {r["split"] for r in grouping.assign_splits(spark.createDataFrame(rows[:5], "g string"), "g", targets.limit(0)).collect()} == {None}
+    # groups keep their splits when one of them grows to a third of all rows and others are added
+    more = grouping.assign_splits(spark.createDataFrame(rows + [("g7",)] * 4000 + [(f"h{i}",) for i in range(2000)], "g string"), "g", targets)
+    before = {r["g"]: r["split"] for r in got.distinct().collect()}
+    after = {r["g"]: r["split"] for r in more.distinct().collect()}
+    assert all(after[g] == s for g, s in before.items())
 
 
 # Mixtures
