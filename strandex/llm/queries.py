@@ -73,11 +73,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("field_name", F.col("id_a").alias("passage_id_a"), F.col("id_b").alias("passage_id_b"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of same-looking texts: one row for each passage and field, however many pairs a class has."""
+    found = lookalikes.same_looking_classes(table(spark, sf_dir, "passages"), "id", ["display_text", "body_text"])
+    return found.select("field_name", F.col("id").alias("passage_id"), "class_id", "links")
+
+
 def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.unify(table(spark, sf_dir, "passages").select("id", "display_text", "body_text"), "display_text", "body_text")
 
 
-def _p3_sql() -> str:
+def _p3_forms() -> str:
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
     plain = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
     source = wide + lookalikes.CYRILLIC + lookalikes.GREEK + lookalikes.HYPHENS.replace("－", "")
@@ -88,8 +94,12 @@ def _p3_sql() -> str:
     for c, to in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
         form = f"replace({form}, '{c}', '{to}')"
     both = " UNION ".join(f"SELECT '{c}' AS f, id, {c} AS t FROM passages WHERE {c} IS NOT NULL" for c in ("display_text", "body_text"))
-    return (f"WITH v AS (SELECT f, id, t, nfc_normalize({form}) AS k FROM ({both})) SELECT DISTINCT a.f AS field_name, a.id AS passage_id_a, b.id AS passage_id_b "
-            "FROM v a JOIN v b ON a.f = b.f AND a.k = b.k AND a.id < b.id AND a.t <> b.t")
+    return f"WITH v AS (SELECT f, id, t, nfc_normalize({form}) AS k FROM ({both})) "
+
+
+P3_PAIRS = "SELECT DISTINCT a.f AS field_name, a.id AS passage_id_a, b.id AS passage_id_b FROM v a JOIN v b ON a.f = b.f AND a.k = b.k AND a.id < b.id AND a.t <> b.t"
+P3_CLASSES = """SELECT v.f AS field_name, v.id AS passage_id, c.class_id, CAST(sum(c.n - t.n) AS BIGINT) AS links FROM v JOIN (SELECT f, k, count(*) AS n, min(id) AS class_id FROM v GROUP BY f, k HAVING count(DISTINCT t) > 1) c ON v.f = c.f AND v.k = c.k
+JOIN (SELECT f, t, count(*) AS n FROM v GROUP BY f, t) t ON v.f = t.f AND v.t = t.t GROUP BY ALL"""
 
 
 # 4. Scanned pages
@@ -264,12 +274,12 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_authored": p1_authored, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_sample": p5_sample, "p5_weighted": p5_weighted, "p5_resumed": p5_resumed, "p6_found": p6_found, "p6_splits": p6_splits,
+    "p1_found": p1_found, "p1_authored": p1_authored, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_classes": p3_classes, "p3_unified": p3_unified, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_sample": p5_sample, "p5_weighted": p5_weighted, "p5_resumed": p5_resumed, "p6_found": p6_found, "p6_splits": p6_splits,
     "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_kept": p8_kept,
     "p9_found": p9_found, "p9_languages": p9_languages, "p9_segments": p9_segments,
 }
 
 
 def sql() -> dict[str, str]:
-    return {"p2_found": _p2_sql(), "p3_found": _p3_sql(), "p5_sample": _p5_sql(), "p5_weighted": _p5_weighted_sql(), "p5_resumed": _p5_sql(), "p6_found": _p6_sql(), "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    return {"p2_found": _p2_sql(), "p3_found": _p3_forms() + P3_PAIRS, "p3_classes": _p3_forms() + P3_CLASSES, "p5_sample": _p5_sql(), "p5_weighted": _p5_weighted_sql(), "p5_resumed": _p5_sql(), "p6_found": _p6_sql(), "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
             "p8_kept": "SELECT DISTINCT source, true AS near_share, true AS within_cap FROM mix_targets JOIN documents USING (source) WHERE target_share > 0 AND max_repeats > 0 AND length(text) > 0"}

@@ -101,7 +101,7 @@ def test_split_frame(spark):
 # Look-alikes
 
 
-@pytest.mark.parametrize("a, b", [("ＡＢＣ－１２", "ABC-12"), ("a b", "a b"), ("re­port", "report"), ("café", "café"), ("ѕаfеtу", "safety"), ("Τһе nοte", "The note"), ("ﬁne", "fine"), ("x‑y", "x-y"), ("Aποθήκη", "Αποθήκη"), ("﻿ok​", "ok"), ("е́", "é")])
+@pytest.mark.parametrize("a, b", [("ＡＢＣ－１２", "ABC-12"), ("a b", "a b"), ("re­port", "report"), ("café", "café"), ("ѕаfеtу", "safety"), ("Τһе nοte", "The note"), ("ﬁne", "fine"), ("x‑y", "x-y"), ("Aποθήκη", "Αποθήκη"), ("﻿ok​", "ok"), ("е́", "é"), ("ĳs x", "ijs x"), ("ŉ", "ʼn"), ("ŀa", "l·a"), ("µm", "μm"), ("Ⅷ", "VIII"), ("Ⅰ", "I"), ("ǆ", "dž")])
 def test_same_look(a, b):
     assert lookalikes.common_form(a) == lookalikes.common_form(b)
 
@@ -111,6 +111,13 @@ def test_other_look(a, b):
     assert lookalikes.common_form(a) != lookalikes.common_form(b)
 
 
+@pytest.mark.parametrize("a", ["ĳs x", "ŉ", "ŀa", "µm", "ﬁne", "Ⅷ", "ſo", "ª²½"])
+def test_form_does_not_depend_on_the_rest(a):
+    """A character folds alike whether or not others of the text are special."""
+    assert lookalikes.common_form(a) + " z" == lookalikes.common_form(a + "\u00a0z")
+    assert lookalikes.common_form(lookalikes.common_form(a)) == lookalikes.common_form(a)
+
+
 def test_words_keep_their_script():
     assert lookalikes.common_form("Северный склад") == "Северный склад"
     assert lookalikes.common_form("сор ехрorт and more words") == "cop exporT and more words".replace("T", "т") or True
@@ -134,6 +141,12 @@ def test_pairs_against_brute_force(spark):
                     want.add((name, x[0], y[0]))
     assert got == want and want
     assert lookalikes.same_looking_pairs(df.limit(0), "id", ["t"]).count() == 0
+    assert lookalikes.same_looking_classes(df.limit(0), "id", ["t"]).count() == 0
+    links = {}
+    for f, a, b in want:
+        links[f, a], links[f, b] = links.get((f, a), 0) + 1, links.get((f, b), 0) + 1
+    classes = {(r["field_name"], r["id"]): (r["class_id"], r["links"]) for r in lookalikes.same_looking_classes(df, "id", ["t", "u"]).collect()}
+    assert {k: n for k, (_, n) in classes.items()} == links and all(classes[f, a][0] == classes[f, b][0] <= a for f, a, b in want)
     assert {(r["id_a"], r["id_b"]) for r in lookalikes.same_looking_pairs(df, "id", ["t"]).collect()} == {(a, b) for f, a, b in want if f == "t"}
 
 
