@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from unicodedata import normalize
@@ -10,7 +11,8 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,16 +30,20 @@ _CODES = {n: code for code, names in NAMES.items() for n in [code, *names.split(
 #: Labels that name no language (fixed values).
 NO_LABEL = {"", "und", "unknown", "??", "?", "xx", "zxx", "mul", "n/a", "na", "none", "null", "-", "other"}
 
-#: Bound of the labelled sample: documents, and sentences of each.
-SAMPLE_DOCUMENTS, SAMPLE_SENTENCES = 3000, 6
+#: Bound of the labelled sample: documents of each label, and sentences of each document.
+SAMPLE_DOCUMENTS, SAMPLE_SENTENCES = 450, 6
 BUCKETS, DIMENSION, GRAMS = 1 << 15, 12, (3, 4)
 #: Passes over the sample, and steps of 64 sentences that are made at least.
 EPOCHS, STEPS = 8, 2000
-#: Sentences whose calibrated confidence is lower than this get no language.
-REJECT = 0.7
-#: Words a sentence of the sample has at least; sentences with fewer, codes and numbers aside, need SHORT_LETTERS letters and more confidence.
+#: The least part of the commonest language's rows that those of another count for.
+RARE = 0.05
+#: Sentences with less confidence than a threshold get no language. It is the highest that rejects no more than this part of the held-out
+#: sentences that are labelled right, between these limits.
+LOST, REJECT_LEAST, REJECT_MOST = 0.001, 0.6, 0.8
+#: Words a sentence of the sample has at least; sentences with fewer, codes and numbers aside, need SHORT_LETTERS letters and more confidence:
+#: a third of the doubt that others may have.
 SENTENCE_WORDS = 3
-SHORT_LETTERS, SHORT_REJECT = 10, 0.9
+SHORT_LETTERS = 10
 #: Letters that parts without the end of a sentence are joined to have, and a whole text has at least.
 PART_LETTERS, TEXT_LETTERS = 20, 4
 UNDETERMINED = "und"
@@ -61,6 +67,13 @@ def label_code(label: str | None) -> str | None:
     return _CODES.get(key) or _CODES.get(re.split(r"[-_ ]", key)[0]) or key
 
 
+def label_column(label: Column) -> Column:
+    """:func:`label_code` as a column."""
+    key = F.lower(F.trim(F.regexp_replace(label, r"^\s+|\s+$", "")))
+    names = F.create_map(*[F.lit(x) for pair in _CODES.items() for x in pair])
+    return F.when(label.isNotNull() & ~key.isin(*NO_LABEL), F.coalesce(F.element_at(names, key), F.element_at(names, F.get(F.split(key, "[-_ ]"), F.lit(0))), key))
+
+
 def pieces(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, whole sentence) of the parts of a text between line ends, tabs and sentence ends. A line that stops in the middle of a
     sentence is joined with the next when that goes on in lower case."""
@@ -100,12 +113,18 @@ def plain(word: str) -> str:
 
 @dataclass
 class Model:
-    """Scores of each bucket for each language (embeddings times softmax weights), the bias, and the temperature."""
+    """Scores of each bucket for each language (embeddings times softmax weights), the bias, the temperature, and the confidence below which a
+    sentence gets no language."""
 
     languages: list[str]
     scores: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
+    reject: float = REJECT_LEAST
+
+    @property
+    def short_reject(self) -> float:
+        return 1 - (1 - self.reject) / 3
 
 
 class Labeller:
@@ -145,6 +164,7 @@ class Labeller:
         parts get no language is scored as a whole."""
         if not self.m.languages:
             return [[] for _ in texts]
+        usual_least, short = self.m.reject, self.m.short_reject
         spans: list[tuple[int, int, int, float]] = []
         words: list[str] = []
         begins: list[int] = []
@@ -165,9 +185,9 @@ class Labeller:
                     usual = sum(1 for w in found if not w.isupper()) >= SENTENCE_WORDS
                     if usual or len(found) > 1 and letters(found) >= SHORT_LETTERS:
                         if open_words and letters(open_words) >= SHORT_LETTERS:
-                            add(k, open_at, open_end, open_words, SHORT_REJECT)
+                            add(k, open_at, open_end, open_words, short)
                         open_at, open_words = -1, []
-                        add(k, a, b, found, REJECT if usual else SHORT_REJECT)
+                        add(k, a, b, found, usual_least if usual else short)
                         continue
                     if not every:
                         continue
@@ -175,10 +195,10 @@ class Labeller:
                     continue
                 open_at, open_end, open_words = a if open_at < 0 else open_at, b, open_words + found
                 if letters(open_words) >= PART_LETTERS:
-                    add(k, open_at, open_end, open_words, REJECT)
+                    add(k, open_at, open_end, open_words, usual_least)
                     open_at, open_words = -1, []
             if open_words and letters(open_words) >= SHORT_LETTERS:
-                add(k, open_at, open_end, open_words, SHORT_REJECT)
+                add(k, open_at, open_end, open_words, short)
         out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
         for (k, a, b, least), (lang, conf) in zip(spans, self._score(words, begins)):
             out[k].append((a, b, lang if conf >= least else -1, conf))
@@ -187,7 +207,7 @@ class Labeller:
             for k, text in enumerate(texts):
                 if all(x[2] < 0 for x in out[k]) and letters(found := _LOOSE_WORD.findall(text)) >= TEXT_LETTERS:
                     a = len(text) - len(text.lstrip())
-                    add(k, a, len(text.rstrip()), found, REJECT)
+                    add(k, a, len(text.rstrip()), found, usual_least)
             for (k, a, b, least), (lang, conf) in zip(spans, self._score(words, begins)):
                 out[k] = [(a, b, lang if conf >= least else -1, conf)]
         return out
@@ -209,16 +229,19 @@ class Labeller:
 
 
 def _fit(sentences: list[list[list[int]]], labels: np.ndarray, k: int, epochs: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Embeddings, softmax weights and bias by stochastic gradient descent. Classes keep their frequencies: equal weights
-    would weigh wrong labels of a rare language above right ones of a common one."""
+    """Embeddings, softmax weights and bias by stochastic gradient descent. Rows of a rare language are repeated until they make up RARE of those of
+    the commonest: so it is learnt, and still rows of a common language with a wrong label weigh less than those with the right one."""
     rng = np.random.default_rng(seed)
     flat = [np.array([g for w in s for g in w], np.int64) for s in sentences]
     emb = rng.normal(0, 1.0 / DIMENSION, (BUCKETS, DIMENSION)).astype(np.float32)
     out = np.zeros((DIMENSION, k), np.float32)
     bias = np.zeros(k, np.float32)
-    steps, batch, done = epochs * max(1, -(-len(flat) // 64)), 64, 0
+    many = np.bincount(labels, minlength=k)
+    times = np.maximum(1, -(-RARE * many.max() // np.maximum(many, 1))).astype(np.int64)
+    pool = np.repeat(np.arange(len(flat)), times[labels])
+    steps, batch, done = epochs * max(1, -(-len(pool) // 64)), 64, 0
     for _ in range(epochs):
-        order = rng.permutation(len(flat))
+        order = rng.permutation(pool)
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
             sizes = np.array([len(flat[r]) for r in rows])
@@ -235,79 +258,104 @@ def _fit(sentences: list[list[list[int]]], labels: np.ndarray, k: int, epochs: i
             back = (p @ out.T) / sizes[:, None]
             out -= rate * (mean.T @ p) / len(rows) * 8
             bias -= rate * p.sum(0) / len(rows)
-            np.add.at(emb, index, np.repeat((-rate * back).astype(np.float32), sizes, axis=0))
+            change = np.repeat((-rate * back).astype(np.float32), sizes, axis=0)
+            by_bucket = np.argsort(index, kind="stable")
+            first = np.flatnonzero(np.diff(index[by_bucket], prepend=-1))
+            emb[index[by_bucket][first]] += np.add.reduceat(change[by_bucket], first, axis=0)
     return emb, out, bias
 
 
 def train(rows: list[tuple[str, str]], seed: int = 9) -> Model:
-    """A model from (sentence, language code) rows whose labels may be wrong in part.
-
-    A first model is trained on all rows; rows whose own label it gives less than 0.35, and less than another, are taken for mislabelled and
-    left out of the second. A tenth of the rows is held out: the temperature that gives them the highest likelihood calibrates the confidence.
-    Languages with less than a five-hundredth of the rows are not learnt."""
-    counts: dict[str, int] = {}
-    for _, code in rows:
-        counts[code] = counts.get(code, 0) + 1
-    languages = sorted(c for c, n in counts.items() if n >= max(2, len(rows) / 500))
-    if not languages:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
-    number = {c: i for i, c in enumerate(languages)}
+    """A model from (sentence, language code) rows whose labels may be wrong in part; languages are learnt however few rows they have.
+
+    Rows are first judged by models of the other half of the rows, twice: those to which these give another language are taken for mislabelled
+    and left out. A language whose rows all turn out to be of others is so dropped. A tenth of the rows left is held out from the last model: the
+    temperature that gives them the highest likelihood calibrates the confidence, and their confidence sets the threshold of rejection."""
     memo: dict[str, list[int]] = {}
-    sentences, labels = [], []
+    sentences, codes = [], []
     for text, code in sorted(rows):
         words = [plain(w) for w in _LOOSE_WORD.findall(text)]
-        if code in number and words:
-            sentences.append([memo.setdefault(w, None) or memo.__setitem__(w, grams(w)) or memo[w] for w in words])
-            labels.append(number[code])
-    y, k = np.array(labels), len(languages)
+        if words:
+            for w in words:
+                if w not in memo:
+                    memo[w] = grams(w)
+            sentences.append([memo[w] for w in words])
+            codes.append(code)
+    languages = sorted(c for c, n in Counter(codes).items() if n > 1)
+    if not languages:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
 
     def logits(emb: np.ndarray, out: np.ndarray, bias: np.ndarray, of: list) -> np.ndarray:
         scores = emb @ out
         return np.array([scores[[g for w in s for g in w]].mean(0) for s in of]) + bias
 
     passes = lambda n, steps: -(-steps * 64 // max(1, n))
-    first = _fit(sentences, y, k, max(3, passes(len(y), STEPS // 3)), seed)
-    z = logits(*first, sentences)
-    p = np.exp(z - z.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    wrong = (p.argmax(1) != y) & (p[np.arange(len(y)), y] < 0.35)
-    keep = np.flatnonzero(~wrong)
+    number = {c: i for i, c in enumerate(languages)}
+    keep = np.array([i for i, c in enumerate(codes) if c in number])
+    y = np.array([number.get(c, -1) for c in codes])
+    for turn in range(2 if len(languages) > 1 and len(keep) >= 20 else 0):
+        fold = np.random.default_rng(seed + turn).permutation(len(keep)) % 2
+        right = np.ones(len(keep), bool)
+        for half in (0, 1):
+            others, own = keep[fold != half], keep[fold == half]
+            z = logits(*_fit([sentences[i] for i in others], y[others], len(languages), max(3, passes(len(others), STEPS // 4)), seed + turn), [sentences[i] for i in own])
+            right[fold == half] = z.argmax(1) == y[own]
+        # a language with a few rows may have lost them to chance only
+        few = np.bincount(y[keep], minlength=len(languages)) < 20
+        keep = keep[right | few[y[keep]]]
+    left = [k for k in range(len(languages)) if (y[keep] == k).sum() > 1]
+    keep = keep[np.isin(y[keep], left)]
+    languages, place = [languages[k] for k in left], {k: i for i, k in enumerate(left)}
+    y = np.array([place.get(v, -1) for v in y])
     held = keep[np.arange(len(keep)) % 10 == 7] if len(keep) >= 50 else keep
     learn = np.setdiff1d(keep, held) if len(keep) >= 50 else keep
-    emb, out, bias = _fit([sentences[i] for i in learn], y[learn], k, max(EPOCHS, passes(len(learn), STEPS)), seed + 1)
+    emb, out, bias = _fit([sentences[i] for i in learn], y[learn], len(languages), max(EPOCHS, passes(len(learn), STEPS)), seed + 2)
     z = logits(emb, out, bias, [sentences[i] for i in held])
     best, temperature = np.inf, 1.0
-    for t in (0.3, 0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0):
+    for t in (0.1, 0.15, 0.2, 0.3, 0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0):
         s = z / t
         s = s - s.max(1, keepdims=True)
         nll = float((np.log(np.exp(s).sum(1)) - s[np.arange(len(held)), y[held]]).mean())
         if nll < best - 1e-4:
             best, temperature = nll, t
-    return Model(languages, (emb @ out).astype(np.float32), bias, temperature)
+    p = np.exp((z - z.max(1, keepdims=True)) / temperature)
+    p /= p.sum(1, keepdims=True)
+    sure = p.max(1)[p.argmax(1) == y[held]]
+    reject = float(np.clip(np.quantile(sure, LOST), REJECT_LEAST, REJECT_MOST)) if len(sure) else REJECT_MOST
+    return Model(languages, (emb @ out).astype(np.float32), bias, temperature, reject)
 
 
 def labelled_sample(df: DataFrame, id_col: str, text_col: str, label_col: str, documents: int = SAMPLE_DOCUMENTS, sentences: int = SAMPLE_SENTENCES) -> list[tuple[str, str]]:
-    """At most about ``documents`` labelled rows, chosen by the hash of their id, and ``sentences`` whole sentences of each, evenly spread."""
-    labelled = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    total = labelled.select(label_col).count()
-    if not total:
+    """At most ``documents`` rows of each labelled language, those of the least hashes of their ids, and ``sentences`` whole sentences of each, evenly
+    spread over its text. Labels that come to a two-letter code count, so there are no more than 676 languages.
+
+    The ids are chosen from the columns of ids and labels; texts are then read from the files only that hold a chosen row."""
+    try:
+        where = F.col("_metadata.file_path")
+        df.select(where)
+    except AnalysisException:  # no plain table of files
+        where = F.lit(None).cast("string")
+    code = label_column(F.col(label_col))
+    named = df.select(F.col(id_col).alias("_id"), code.alias("_code"), where.alias("_file")).where(F.col("_code").rlike("^[a-z]{2}$") & F.col("_id").isNotNull())
+    ranked = named.withColumn("_h", F.xxhash64(F.col("_id").cast("string"), F.lit(91))).withColumn("_n", F.row_number().over(Window.partitionBy("_code").orderBy("_h", "_id")))
+    chosen = ranked.where(F.col("_n") <= documents).select("_id", "_code", "_file").collect()
+    if not chosen:
         return []
-    unit = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(91)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = labelled.where(unit < min(1.0, documents / total)).select(text_col, label_col)
+    files = {r["_file"] for r in chosen}
+    read = df.where(where.isin(*files)) if None not in files else df
+    picked = df.sparkSession.createDataFrame([(r["_id"], r["_code"]) for r in chosen], T.StructType([T.StructField("_id", df.schema[id_col].dataType), T.StructField("_code", T.StringType())]))
+    texts = read.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id").select("_text", "_code")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for text, label in part.itertuples(index=False):
-                code = label_code(label)
-                if code is None:
-                    continue
+            for text, code in part.itertuples(index=False):
                 whole = [text[a:b] for a, b, ok in pieces(text) if ok and len(_WORD.findall(text, a, b)) >= SENTENCE_WORDS]
                 take = min(sentences, len(whole))
-                rows += [(whole[i * len(whole) // take][:2000], code) for i in range(take)]
+                rows += [(whole[i * len(whole) // take], code) for i in range(take)]
             yield pd.DataFrame(rows, columns=["s", "c"])
 
-    return [(r["s"], r["c"]) for r in chosen.mapInPandas(run, "s string, c string").collect()]
+    return [(r["s"], r["c"]) for r in texts.mapInPandas(run, "s string, c string").collect()]
 
 
 DETAIL = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("sentences", T.LongType()), T.StructField("confidence", T.DoubleType())]))
@@ -332,8 +380,8 @@ def identify(df: DataFrame, id_col: str, text_col: str, label_col: str, model: M
     languages: for each language in which the text has a whole sentence, the number of such sentences and their mean confidence, the most
     frequent first (with ``every``, of all parts, see :meth:`Labeller.label`); ``und`` stands for rejected sentences. segments: runs of sentences of one language with their offsets. Without whole
     sentences (null, blank and code-only texts too) the array is empty. The model is trained on :func:`labelled_sample` unless given; where
-    nothing is labelled there are no languages to learn and all arrays are empty. Two passes over the table; only the model, whose size is
-    fixed by BUCKETS and the languages, is sent to the executors."""
+    nothing is labelled there are no languages to learn and all arrays are empty. One pass over the ids and labels, one over the files of the
+    sample and one over all texts; only the model, whose size is fixed by BUCKETS and the languages, is sent to the executors."""
     ship(df.sparkSession)
     if model is None:
         model = train(labelled_sample(df, id_col, text_col, label_col))

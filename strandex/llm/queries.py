@@ -190,7 +190,7 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups, _, _ = p6_groups(spark, sf_dir)
+    groups = keep(p6_groups(spark, sf_dir)[0])
     members = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group_id")
     return groups.join(members, "group_id", "left_semi").select("query_id", "group_id")
 

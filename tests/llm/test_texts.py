@@ -1,9 +1,11 @@
 import itertools
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandex.llm import language, lookalikes, mails, scanning, splitting
 
@@ -183,6 +185,35 @@ def test_noisy_labels_are_learnt_right():
         assert [m.languages[g] for _, _, g, _ in spans] == [k] * 3
 
 
+def test_rare_languages_are_learnt():
+    """Three rows of 6,000 are enough, and a label whose rows are all of another language isn't learnt."""
+    rng = random.Random(12)
+    words = {"en": "the of and to in is was for that with on are this from have which their been after would".split(), "de": "der die und das nicht von mit auf für ist ein dem wird auch nach bei über werden durch sind".split()}
+    rows = [(" ".join(rng.choice(words[c]) for _ in range(12)), c) for c in ("en", "de") for _ in range(3000)]
+    rows += [("Wszystkie skrzynie wróciły wczoraj do magazynu na północy.", "pl"), ("Proszę sprawdzić listę przed jutrzejszym spotkaniem działu.", "pl"), ("Ten dokument otworzył wczoraj inny dział naszej firmy.", "pl")]
+    rows += [(" ".join(rng.choice(words["en"]) for _ in range(12)), "fi") for _ in range(40)]
+    m = language.train(rows)
+    assert m.languages == ["de", "en", "pl"]
+    got = language.Labeller(m).label(["Proszę otworzyć ten dokument przed spotkaniem działu.", "This was for the list of that and after that."])
+    assert [[m.languages[g] for _, _, g, _ in spans] for spans in got] == [["pl"], ["en"]]
+
+
+def test_label_column(spark):
+    labels = ["EN", "en-GB", " eng ", "English", "Deutsch", "fr_CA", "??", "", None, "und", "tlh", "Español", "N/A", "\ten\n", "pt BR"]
+    df = spark.createDataFrame([(x,) for x in labels], "x string").select(language.label_column(F.col("x")).alias("c"))
+    assert [r["c"] for r in df.collect()] == [language.label_code(x) for x in labels]
+
+
+def test_sample_is_stratified_and_bounded(spark, tmp_path):
+    rows = [(i, f"Sentence number {i} is here. And this is another one of them.", "de" if i % 500 == 0 else "en" if i % 7 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    df.repartition(5).write.parquet(str(tmp_path / "d"))
+    for frame in (df, spark.read.parquet(str(tmp_path / "d"))):
+        got = Counter(c for _, c in language.labelled_sample(frame, "doc_id", "text", "lang", 50, 2))
+        assert got == {"en": 100, "de": 8}
+    assert language.labelled_sample(df.limit(0), "doc_id", "text", "lang") == []
+
+
 def test_held_out_accuracy(spark, data):
     df = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet")
     rows = language.labelled_sample(df, "doc_id", "text", "lang", 1000, 4)
