@@ -31,10 +31,10 @@ _CODES = {n: code for code, names in NAMES.items() for n in [code, *names.split(
 NO_LABEL = {"", "und", "unknown", "??", "?", "xx", "zxx", "mul", "n/a", "na", "none", "null", "-", "other"}
 
 #: Bound of the labelled sample: documents of each label, and sentences of each document.
-SAMPLE_DOCUMENTS, SAMPLE_SENTENCES = 450, 6
+SAMPLE_DOCUMENTS, SAMPLE_SENTENCES = 300, 6
 BUCKETS, DIMENSION, GRAMS = 1 << 15, 12, (3, 4)
 #: Passes over the sample, and steps of 64 sentences that are made at least.
-EPOCHS, STEPS = 8, 2000
+EPOCHS, STEPS = 8, 1200
 #: The least part of the commonest language's rows that those of another count for.
 RARE = 0.05
 #: Sentences with less confidence than a threshold get no language. It is the highest that rejects no more than this part of the held-out
@@ -232,7 +232,7 @@ def _fit(sentences: list[list[list[int]]], labels: np.ndarray, k: int, epochs: i
     """Embeddings, softmax weights and bias by stochastic gradient descent. Rows of a rare language are repeated until they make up RARE of those of
     the commonest: so it is learnt, and still rows of a common language with a wrong label weigh less than those with the right one."""
     rng = np.random.default_rng(seed)
-    flat = [np.array([g for w in s for g in w], np.int64) for s in sentences]
+    flat = [np.array([g for w in s for g in w], np.uint16) for s in sentences]  # BUCKETS fit; short integers are sorted by radix
     emb = rng.normal(0, 1.0 / DIMENSION, (BUCKETS, DIMENSION)).astype(np.float32)
     out = np.zeros((DIMENSION, k), np.float32)
     bias = np.zeros(k, np.float32)
@@ -260,8 +260,9 @@ def _fit(sentences: list[list[list[int]]], labels: np.ndarray, k: int, epochs: i
             bias -= rate * p.sum(0) / len(rows)
             change = np.repeat((-rate * back).astype(np.float32), sizes, axis=0)
             by_bucket = np.argsort(index, kind="stable")
-            first = np.flatnonzero(np.diff(index[by_bucket], prepend=-1))
-            emb[index[by_bucket][first]] += np.add.reduceat(change[by_bucket], first, axis=0)
+            ordered = index[by_bucket]
+            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            emb[ordered[first]] += np.add.reduceat(change[by_bucket], first, axis=0)
     return emb, out, bias
 
 
