@@ -77,7 +77,7 @@ _FOLD = _Fold()
 
 def _plain() -> re.Pattern:
     """Texts of these characters only are in the common form already: Latin letters and punctuation that nothing folds."""
-    kept = (c for c in map(chr, [*range(0x80), *range(0xA1, 0x180), *range(0x2013, 0x2027), 0x2030, 0x20AC, 0x2116, 0x2122]) if _FOLD[ord(c)] == ord(c))
+    kept = (c for c in map(chr, [*range(0x80), *range(0xA1, 0x180), *range(0x2013, 0x2027), 0x2030, 0x20AC, 0x2116, 0x2122]) if _FOLD[ord(c)] in (c, ord(c)))
     return re.compile(f"[{''.join(map(re.escape, kept))}]*")
 
 
