@@ -383,6 +383,61 @@ def test_keys_agree(spark):
     assert got == [scanning.margin_key(t) for t in texts]
 
 
+def test_lexicon_does_not_depend_on_what_a_task_holds(spark):
+    rng = random.Random(13)
+    rows = [(n, "d", n // 20, n % 20, " ".join(rng.choice(["word", "other", "12", "A-77", "w0rd", f"x{rng.randrange(400)}", "thing"]) for _ in range(9)), None, None, None) for n in range(600)]
+    units = scanning.units_of(spark.createDataFrame(rows, LINE), None)
+    got = [scanning.build_lexicon(u, held) for u, held in ((units.coalesce(1), 3), (units.coalesce(1), 500_000), (units.repartition(7), 40))]
+    assert got[0][:2] == got[1][:2] == got[2][:2] and set(got[0][0]) == {"word", "other", "thing"}
+    assert len({frozenset(tuple(r) for r in counts.collect()) for _, _, counts in got}) == 1
+
+
+def test_headers_of_a_chapter_count_in_a_long_document(spark):
+    """A short header on a few neighbouring pages of many, and one whose pages lie far apart."""
+    rows = [(n, "d", n, 0, "Handbuch" if 200 <= n < 206 else "Incident" if n in (10, 150, 290) else f"Text {n} of page", None, (0.1, 0.03, 0.2, 0.01), None) for n in range(1, 300)]
+    units = scanning.units_of(spark.createDataFrame(rows, LINE), None)
+    got = {(r["page"], r["key"]) for r in scanning.repeated_keys(units).collect()}
+    assert {p for p, k in got if k == scanning.margin_key("Handbuch")} == set(range(200, 206)) and scanning.margin_key("Handbuch")
+    assert not any(k == scanning.margin_key("Incident") for _, k in got)
+    for a, b in (("Handbuch", "Hancìbuch"), ("Handbuch", "Hanclbuch"), ("Incident", "lncidcnt"), ("Lieferbericht", "Licfcrbcricht"), ("Wichtig", "VVichtig")):
+        assert scanning.margin_key(a) == scanning.margin_key(b)
+    assert scanning.margin_key("Handbuch") != scanning.margin_key("Incident") and len(scanning.margin_key("Ordnung Katalog " * 50)) == 32
+
+
+def test_confidence_counts(spark):
+    """What is a misreading in a doubtful line may be a word in a sure one; null confidences change nothing."""
+    rows = [(n, "d", n // 10, n % 10, "these w0rds are" if n % 3 == 0 else "these words are", 40.0 if n % 3 == 0 else 95.0 if n % 3 == 1 else None, None, None) for n in range(600)]
+    doubts = scanning.learn_doubts(scanning.units_of(spark.createDataFrame(rows, LINE), None))
+    assert doubts == {40: 1, 95: -1}
+    lex = scanning.Lexicon({"senza": 50, "scnza": 3}, 3, None, doubts)
+    assert lex.doubt(None) == 0 and lex.doubt(float("nan")) == 0 and lex.doubt(95.9) == -1 and lex.doubt(400.0) == 0
+    assert lex.judge("scnza")[0] and lex.judge("scnza", doubt=1)[0] and not lex.judge("scnza", doubt=-1)[0]
+
+
+def test_unknown_characters_do_not_multiply():
+    lex = scanning.Lexicon({"document": 900, "the": 5000}, 3)
+    assert lex.judge("do�ument") == (True, "document") and lex.judge("do�um�nt") == (True, "document")
+    began = time.process_time()
+    lex.longest = 20
+    lex.judge("x" + "�" * 3000), lex.judge("rn" * 4000)
+    assert time.process_time() - began < 2
+
+
+def test_roman_page_numbers():
+    assert scanning.roman(1994) == "mcmxciv" and scanning.is_number("MCMXCIV", 1994) == 2 and scanning.is_number("xiv", 3) == 1 and scanning.is_number("civil.", 3) == 0 and scanning.is_number("mild", 3) == 0
+
+
+def test_own_hyphens_with_wrong_characters():
+    lex = scanning.Lexicon({"well-documented": 40, "well": 300, "documented": 90, "maintenance": 80}, 3)
+    assert not lex.cut("well-", "documen†ed") and lex.cut("main-", "tenancc")
+
+
+def test_paragraph_numbers_follow_their_places(spark):
+    rows = [(n, "d", 1 + n // 3, n % 3, t, None, (0.1, 0.3 + 0.1 * (n % 3), 0.8, 0.02), None) for n, t in enumerate(["First of all.", "Second one here.", "Third goes on", "over the page.", "Fourth one.", "Fifth."])]
+    got = sorted((r["page_number"], r["paragraph_no"]) for r in scanning.Reader(spark.createDataFrame(rows, LINE), None).paragraphs().collect())
+    assert len(set(got)) == len(got) and all(no < 10 for _, no in got)
+
+
 # Mails
 
 def span_score(blocks, start, end, y):
