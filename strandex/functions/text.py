@@ -5,6 +5,7 @@ batches. Index, clause evaluation and previews use the one tokenizer of this mod
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
@@ -16,9 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words whose final stop ends no sentence (fixed values).
-ABBREVIATIONS = frozenset(
-    "al approx art ca cf co corp dept dr dra eq eqs est etc fig figs inc jr ltd mr mrs ms no nos nr núm pág pp prof ref sec sr sra st vol vs".split()
-)
+ABBREVIATIONS = frozenset((
+    "al", "approx", "art", "ca", "cf", "co", "corp", "dept", "dr", "dra", "eq", "eqs", "est", "etc", "fig",
+    "figs", "inc", "jr", "ltd", "mr", "mrs", "ms", "no", "nos", "nr", "núm", "pág", "pp", "prof", "ref",
+    "sec", "sr", "sra", "st", "vol", "vs",
+))
 #: Openings of legal disclaimers in mails (fixed values).
 DISCLAIMERS = (
     "this email and any attachments are confidential",
@@ -159,9 +162,13 @@ def clean_body(text: str, boilerplate: bool = False, email_body: bool = False) -
     return for_search("\n".join(kept), dehyphenate=True)
 
 
+#: Characters of a model's token (fixed value).
+TOKEN_CHARS = 3.5
+
+
 def approximate_tokens(text: str) -> int:
     """Number of model tokens where no model is at hand: one for 3.5 characters, at least one."""
-    return max(1, -(-len(text) * 2 // 7))
+    return max(1, math.ceil(len(text) / TOKEN_CHARS))
 
 
 def compose(body: str, context: Iterable[tuple[str, str | None]], count: Callable[[str], int] = approximate_tokens) -> str:
