@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions.text import name_key
 from .operators.sections import Block, deterministic_id, passages_of
 from .runtime import ship
+from .service import text_index
 from .sources.extract import extract_files, read_files
 from .sources.formats import BY_EXTENSION
 from .store import PREPARATION, SCHEMAS, Store, activate, observe, reconcile, tombstone
@@ -124,7 +125,8 @@ def _index(store: Store, project: str, folder: str, embed: Callable[[Column], Co
     active = made.select(F.col("document_id").alias("id"), F.col("revision_id").alias("_r")).join(fresh.select(F.col("document_id").alias("id"), F.col("sha256").alias("_s")), "id")
     docs = docs.join(active, "id", "left").withColumn("active_revision_id", F.coalesce("_r", "active_revision_id")).withColumn("sha256", F.coalesce("_s", "sha256")).drop("_r", "_s")
     passages = part("passages")
-    changes = {"documents": docs, "revisions": activate(store.read("revisions", at), revisions), "content_nodes": part("nodes"), "sections": part("sections"), "passages": passages, "errors": errors}
+    index = text_index(passages)
+    changes = {**index, "documents": docs, "revisions": activate(store.read("revisions", at), revisions), "content_nodes": part("nodes"), "sections": part("sections"), "passages": passages, "errors": errors}
     if embed is not None:
         changes["embeddings"] = passages.where("semantic_eligible").select(F.col("id").alias("passage_id"), "project_id", "document_id", "revision_id", embed(F.col("semantic_text")).alias("vector"), F.lit(policy).alias("policy_key"))
     result["indexed"] = made.count()

@@ -130,7 +130,11 @@ class Evaluation:
 
 def evaluate(clauses: Sequence[Clause], fields: Mapping[str, Column], minimum_should_match: int = 0) -> Evaluation:
     """must, should and must not over columns of canonical text: every must, no must not, at least so many should clauses."""
-    hits = {c.id: clause_hit(c, fields) for c in clauses}
+    return combine(clauses, {c.id: clause_hit(c, fields) for c in clauses}, minimum_should_match)
+
+
+def combine(clauses: Sequence[Clause], hits: dict[str, Column], minimum_should_match: int = 0) -> Evaluation:
+    """:func:`evaluate` from what each clause hits."""
     musts = [hits[c.id] for c in clauses if c.occur == "must"]
     shoulds = [hits[c.id] for c in clauses if c.occur == "should"]
     nots = [hits[c.id] for c in clauses if c.occur == "must_not"]
@@ -155,7 +159,12 @@ def matched_ids(clauses: Sequence[Clause], hits: Mapping[str, Column]) -> Column
 
 def optional_boost(clauses: Sequence[Clause], minimum_should_match: int, fields: Mapping[str, Column]) -> Column | None:
     """The second branch: rows with every must and at least one should clause, where should clauses are only optional."""
-    if minimum_should_match > 0 or not any(c.occur == "must" for c in clauses) or not any(c.occur == "should" for c in clauses):
+    if not has_boost(clauses, minimum_should_match):
         return None
     e = evaluate(clauses, fields, 1)
     return e.matches
+
+
+def has_boost(clauses: Sequence[Clause], minimum_should_match: int) -> bool:
+    """Whether should clauses are only optional, so that a second branch looks for them."""
+    return minimum_should_match <= 0 and any(c.occur == "must" for c in clauses) and any(c.occur == "should" for c in clauses)

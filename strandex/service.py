@@ -1,6 +1,7 @@
 """Searching and reading an index: the operations that a caller has.
 
-Each method makes one plan from one generation of the store. Searches rank narrow rows first and read texts of the candidates only."""
+Each method makes one plan from one generation of the store. Searches rank by the stored text index and narrow rows, and read texts of the
+candidates only."""
 
 from __future__ import annotations
 
@@ -16,6 +17,7 @@ from .functions.text import for_display
 from .operators import clauses as C
 from .operators import inventory as I
 from .operators import previews as V
+from .operators import postings as P
 from .operators import ranking as R
 from .operators import trees
 from .operators import vectors
@@ -56,17 +58,16 @@ class Service:
         live = self.store.active_passages(project, at)
         if condition is not None:
             live = live.where(condition)
-        live = live.withColumn("sheet", F.col("location.sheet"))
         section = request.scope == "section"
-        if section:
-            live = self._sections(live)
         key = "section_id" if section else "id"
+        of_key = live.where("section_id IS NOT NULL") if section else live
         branches: dict[str, DataFrame] = {}
         counts: dict[str, int] = {}
         reached: dict[str, bool] = {}
         warnings: list[str] = []
         if request.mode != "semantic":
-            ranked, more = self._keyword(live, request, key)
+            ranked, more = self._keyword(of_key, at, request, key)
+            ranked = ranked.persist()
             branches["keyword"], reached["keyword"] = ranked, more
             counts["keyword"] = ranked.count()
         semantic = None
@@ -76,79 +77,84 @@ class Service:
                 if request.mode == "semantic":
                     raise RequestError("semantic_unavailable", "no embedder")
             else:
-                semantic, more = self._semantic(live, at, request, key)
+                semantic, more = self._semantic(of_key, at, request, key)
+                semantic = semantic.persist()
                 branches["semantic"], reached["semantic"] = semantic.select(key, "rank"), more
                 counts["semantic"] = semantic.count()
         fused = R.reciprocal_rank_fusion({b: d.select(key, "rank") for b, d in branches.items()}, key, request.weights)
         fused = fused.withColumn("score", F.round("score", 12))
-        names = live.select(key, "document_id", "content_id", "path", "file_name").dropDuplicates([key])
-        hits = fused.join(names, key)
+        names = of_key.select(key, "document_id", "content_id", "path", "file_name", "ordinal", "id").join(fused.select(key), key, "left_semi")
+        names = names.groupBy(key).agg(F.min_by(F.struct("document_id", "content_id", "path", "file_name"), F.struct("ordinal", "id")).alias("m")).select(key, "m.*") if section else names.drop("ordinal")
+        hits = fused.join(names.drop("id") if section else names, key)
         group = ["document_id", "section_id"] if section else ["document_id", "content_id"]
         groups = R.group_hits(hits, group, "score", key)
         order = [F.col("score").desc(), F.col("document_id"), F.col(group[1])]
         returned = R.limit_per_document(groups, "document_id", order, request.groups_per_document, request.group_limit)
         suppressed = R.suppressed_sources(groups, returned, "document_id", group[1])
-        members = self._members(self.store.active_passages(project, at) if section else live, fused, semantic, returned, group[1], key, section)
+        members = self._members(self.store.active_passages(project, at) if section else of_key, fused, semantic, returned, group[1], key, section)
         shown = V.previews(members, "group_id", [c for c in request.clauses], request.previews_per_group, request.semantic_query, request.diversify_previews, "semantic" in branches)
         return SearchResult(R.ranked(returned, order, "position"), shown, suppressed, counts, reached, warnings)
 
-    def _sections(self, live: DataFrame) -> DataFrame:
-        """One row a section: its whole canonical text, with the metadata of its first passage."""
-        first = live.where("section_id IS NOT NULL").groupBy("section_id").agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "id", "body_text"))), lambda x: x["body_text"]), " ").alias("_body"),
-            F.min_by(F.struct(*[c for c in live.columns if c not in ("section_id", "body_text")]), F.struct("ordinal", "id")).alias("_m"))
-        return first.select("section_id", F.col("_body").alias("body_text"), "_m.*")
-
-    def _keyword(self, live: DataFrame, request: SearchRequest, key: str) -> tuple[DataFrame, bool]:
+    def _texts(self, live: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+        """(key, canonical texts of all fields) of a bounded number of rows: passages, or sections with the metadata of their first passage."""
         from .functions.text import canonical_column
 
-        rows = live.select(key, "body_text", *[canonical_column(F.coalesce(F.col(c), F.lit(""))).alias(f"k_{f}") for f, c in COLUMNS.items() if f != "body"])
-        fields = {f: F.col("body_text" if f == "body" else f"k_{f}") for f in COLUMNS}
-        names = {f: "body_text" if f == "body" else f"k_{f}" for f in COLUMNS}
-        e = C.evaluate(request.clauses, fields, request.minimum_should_match)
-        limit = request.candidate_limit
-        boost = C.optional_boost(request.clauses, request.minimum_should_match, fields)
-        flags = rows.select(key, e.matches.alias("matches"), e.should_matched.alias("should_matched"), F.col("body_text").alias("_body"))
-
-        def branch(found: Column) -> DataFrame:
-            scored = R.bm25(rows, key, names, request.clauses, request.field_weights, found)
-            return scored.orderBy(F.round("score", 9).desc(), key).limit(limit + 1)
-
-        main = branch(e.candidate)
-        more = main.count() > limit
-        positive = sum(c.occur != "must_not" for c in request.clauses)
-
-        def with_flags(df: DataFrame) -> DataFrame:
-            out = R.ranked(df.limit(limit), [F.round("score", 9).desc(), F.col(key)], "rank").select(key, "rank").join(flags, key)
-            return out.withColumn("near", V.proximity_column(F.col("_body"), request.clauses) if positive >= 2 else F.lit(0.0)).drop("_body")
-
-        optional = with_flags(branch(boost)) if boost is not None else None
-        should = sum(c.occur == "should" for c in request.clauses)
-        ranked = R.keyword_rerank(with_flags(main), optional, key, should, positive, request.minimum_should_match, "near")
+        rows = live.withColumn("sheet", F.col("location.sheet")).select(*{key, "id", "ordinal"}, *COLUMNS.values()).join(wanted.select(key).distinct(), key, "left_semi")
+        if key == "section_id":
+            rows = sections_of(rows)
+        return rows.select(key, *[F.coalesce("body_text", F.lit("")).alias("k_body") if f == "body" else canonical_column(F.coalesce(F.col(c), F.lit(""))).alias(f"k_{f}") for f, c in COLUMNS.items()])
+
+    def _keyword(self, live: DataFrame, at: dict, request: SearchRequest, key: str) -> tuple[DataFrame, bool]:
+        """Rows by the stored index: postings of the clauses' terms and prefixes meet the lengths of live rows; no text but that of the candidates
+        is read, for the nearness of matches."""
+        clauses, limit = request.clauses, request.candidate_limit
+        scope = "section" if key == "section_id" else "passage"
+        lengths = self.store.read("lengths", at).where(F.col("scope") == scope).select("id", "segment", "length").join(live.select(F.col(key).alias("id")).distinct(), "id", "left_semi").persist()
+        stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).first()
+        terms, prefixes = P.sought(clauses)
+        found = P.clause_counts(self.store.postings(terms, prefixes, at).where(F.col("scope") == scope), clauses, ("id", "segment"))
+        rows = lengths.join(found, ["id", "segment"]).select(F.col("id").alias(key), "length", "counts").persist()
+        hits = P.clause_hits(clauses)
+        e = C.combine(clauses, hits, request.minimum_should_match)
+        score = P.bm25_counts(rows, clauses, request.field_weights, stats["n"], stats["avg"])
+        scored = rows.select(key, e.matches.alias("matches"), e.candidate.alias("_candidate"), e.should_matched.alias("should_matched"), score.alias("score"), *([C.combine(clauses, hits, 1).matches.alias("_boost")] if C.has_boost(clauses, request.minimum_should_match) else []))
+        positive = sum(c.occur != "must_not" for c in clauses)
+
+        def branch(which: str) -> tuple[DataFrame, bool]:
+            top = scored.where(which).orderBy(F.round("score", 9).desc(), key).limit(limit + 1).persist()
+            more = top.count() > limit
+            return R.ranked(top, [F.round("score", 9).desc(), F.col(key)], "rank").where(F.col("rank") <= limit).select(key, "rank", "matches", "should_matched"), more
+
+        main, more = branch("_candidate")
+        optional = branch("_boost")[0] if "_boost" in scored.columns else None
+        if positive >= 2:
+            near = self._texts(live, main if optional is None else main.select(key).unionByName(optional.select(key)), key).select(key, V.proximity_column(F.col("k_body"), clauses).alias("near"))
+            main, optional = main.join(near, key, "left"), optional if optional is None else optional.join(near, key, "left")
+        should = sum(c.occur == "should" for c in clauses)
+        ranked = R.keyword_rerank(main, optional, key, should, positive, request.minimum_should_match, "near" if positive >= 2 else None)
         return ranked.select(key, F.col("keyword_rank").alias("rank")), more
 
     def _semantic(self, live: DataFrame, at: dict, request: SearchRequest, key: str) -> tuple[DataFrame, bool]:
         """Nearest passages first, then the clauses as a filter on them, so fewer than the limit may be left."""
         query = list(self.embed(request.semantic_query or ""))  # type: ignore[misc]
-        ids = live.select(F.col("id").alias("passage_id"), key) if key != "id" else live.select(F.col("id").alias("passage_id"))
-        if key == "section_id":
-            ids = self.store.active_passages(None, at).select(F.col("id").alias("passage_id"), "section_id").join(live.select("section_id"), "section_id", "left_semi")
+        ids = live.select(*{"id", key}, "section_offset", "display_text", "heading").withColumn("passage_id", F.col("id"))
         e = self.store.read("embeddings", at).join(ids, "passage_id", "left_semi")
         best = vectors.vector_top_k(e, query, request.candidate_limit + 1, "passage_id", "vector")
         more = best.count() > request.candidate_limit
-        hits = best.limit(request.candidate_limit).join(ids, "passage_id") if key != "id" else best.limit(request.candidate_limit).withColumnRenamed("passage_id", "id").withColumn("passage_id", F.col("id"))
+        hits = best.limit(request.candidate_limit).join(ids, "passage_id")
         if request.clauses:
-            from .functions.text import canonical_column
-
-            rows = live.join(hits.select(key).distinct(), key, "left_semi")
-            rows = rows.select(key, "body_text", *[canonical_column(F.coalesce(F.col(c), F.lit(""))).alias(f"k_{f}") for f, c in COLUMNS.items() if f != "body"])
-            ok = C.evaluate(request.clauses, {f: F.col("body_text" if f == "body" else f"k_{f}") for f in COLUMNS}, request.minimum_should_match)
+            rows = self._texts(live, hits, key)
+            ok = C.evaluate(request.clauses, {f: F.col(f"k_{f}") for f in COLUMNS}, request.minimum_should_match)
             hits = hits.join(rows.where(ok.matches).select(key), key, "left_semi")
         if request.strict_threshold:
             hits = hits.where(F.col("score") >= request.similarity_threshold)
         grouped = hits.groupBy(key).agg(F.max("score").alias("similarity"), F.max_by("passage_id", F.struct("score", "passage_id")).alias("anchor"))
-        grouped = grouped.withColumn("below_threshold", F.col("similarity") < request.similarity_threshold)
-        return R.ranked(grouped, [F.col("similarity").desc(), F.col(key)], "rank"), more
+        grouped = grouped.withColumn("below_threshold", F.col("similarity") < request.similarity_threshold).withColumn("_order", F.col("similarity"))
+        if key == "section_id":
+            only = F.coalesce(F.trim("display_text") == F.trim("heading"), F.lit(False))
+            bonus = R.corroboration(hits.select(key, "score", F.coalesce("section_offset", F.lit(0)).alias("section_offset"), "passage_id", only.alias("_only")), key, "score", "section_offset", "passage_id", "_only")
+            grouped = grouped.join(bonus, key).withColumn("_order", F.col("similarity") + F.col("bonus")).drop("bonus")
+        return R.ranked(grouped, [F.col("_order").desc(), F.col(key)], "rank").drop("_order"), more
 
     def _members(self, passages: DataFrame, fused: DataFrame, semantic: DataFrame | None, returned: DataFrame, group: str, key: str, section: bool) -> DataFrame:
         """Passages of the returned groups with what previews need."""
@@ -230,6 +236,30 @@ class Service:
         return result.previews.join(p, "id").where(~literal_citation(F.col("display_text"), F.col("start"), F.col("length"), F.col("excerpt"))).count() == 0
 
 
+def sections_of(passages: DataFrame) -> DataFrame:
+    """One row a section of passages: its whole canonical text, with the other columns of its first passage."""
+    first = passages.where("section_id IS NOT NULL").groupBy("section_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "id", "body_text"))), lambda x: x["body_text"]), " ").alias("_body"),
+        F.min_by(F.struct(*[c for c in passages.columns if c not in ("section_id", "body_text")]), F.struct("ordinal", "id")).alias("_m"))
+    return first.select("section_id", F.col("_body").alias("body_text"), "_m.*")
+
+
+def text_index(passages: DataFrame) -> dict[str, DataFrame]:
+    """The tables of the text index for passages of a store: each passage, and each section as one text with the metadata of its first passage."""
+    from .functions.text import canonical_column
+    from .operators.postings import index_rows
+
+    carry = ["project_id", "document_id", "revision_id"]
+    rows = passages.withColumn("sheet", F.col("location.sheet")).select("id", "section_id", "ordinal", *carry, *COLUMNS.values())
+    out: dict[str, DataFrame] = {}
+    for scope, key, part in (("passage", "id", rows), ("section", "section_id", sections_of(rows))):
+        made = part.select(key, *carry, *[F.coalesce("body_text", F.lit("")).alias("k_body") if f == "body" else canonical_column(F.coalesce(F.col(c), F.lit(""))).alias(f"k_{f}") for f, c in COLUMNS.items()])
+        postings, lengths = index_rows(made, scope, key, {f: f"k_{f}" for f in COLUMNS}, carry)
+        for name, df in (("postings", postings), ("lengths", lengths)):
+            out[name] = out[name].unionByName(df) if name in out else df
+    return out
+
+
 PAGES = T.StructType([T.StructField("position", T.LongType()), T.StructField("page", T.LongType())])
 
 

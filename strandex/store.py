@@ -1,8 +1,12 @@
 """The index on disk: versioned Parquet tables behind a manifest, and the state changes of documents and jobs.
 
-A commit writes the new files of the tables it changes under a new generation and then replaces the manifest, so a reader that has read the
-manifest sees one generation of all tables. Tables are split by ``project_id``; a commit that touches one document rewrites only the
-bucket of documents it belongs to, the other buckets' files are carried over by name."""
+A commit writes the new files of the tables it changes under a new generation and then a manifest of the next number, so a reader that has read
+a manifest sees one generation of all tables; of two writers only one can make the next manifest. Tables of documents' rows lie in
+buckets of documents: a commit writes each of them once, with the rows of the buckets it touches, and carries the others over by name.
+
+The text index is a table of postings in segments, one a commit, each laid out by term, so that a search reads the few folders of its terms.
+Rows of replaced documents are left behind in older segments and not read: ``lengths``, which is replaced with its documents, says in
+which segment an indexed row lies. :meth:`Store.compact` makes one segment of all."""
 
 from __future__ import annotations
 
@@ -11,6 +15,7 @@ import os
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,15 +53,80 @@ SCHEMAS: dict[str, T.StructType] = {
     "acknowledgements": _schema(project_id=_S, signature=_S, created_utc=_T),
     "lifecycles": _schema(project_id=_S, signature=_S, first_seen=_T, last_seen=_T, occurrences=_L),
     "exclusions": _schema(project_id=_S, path_key=_S, created_utc=_T),
+    "postings": _schema(scope=_S, id=_S, field=_S, term=_S, positions=T.ArrayType(_I), segment=_L),
+    "lengths": _schema(scope=_S, id=_S, project_id=_S, document_id=_S, revision_id=_S, length=_L, segment=_L),
 }
 #: Tables whose rows belong to a document and which a commit of documents replaces bucket by bucket.
-OF_DOCUMENT = ("content_nodes", "sections", "passages", "embeddings", "errors")
+OF_DOCUMENT = ("content_nodes", "sections", "passages", "embeddings", "errors", "lengths")
+#: Tables of which every commit adds a segment.
+SEGMENTS = ("postings",)
+
+
+#: Letters of a term that decide its folder in the text index, and the number of folders.
+HEAD, HEADS = 2, 256
+
+
+def head(term: str) -> int:
+    """The folder of a term or of all that begin with a prefix of HEAD letters or more."""
+    return crc32(term[:HEAD].encode()) % HEADS
+
+
+def head_column(term: Column) -> Column:
+    return (F.crc32(F.substring(term, 1, HEAD).cast("binary")) % HEADS).cast("int")
 
 
 def bucket(document: Column) -> Column:
     return F.pmod(F.xxhash64(document), F.lit(BUCKETS)).cast("int")
 
 
+def shaped(table: str, df: DataFrame) -> DataFrame:
+    """df with the columns of a table; those it lacks are null."""
+    return df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[table]])
+
+
+class Files:
+    """The few operations on a folder that all executors share, by the file system of its address."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.jvm = spark.sparkContext._jvm
+        self.fs = self.path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.local = self.fs.getScheme() == "file"
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(name)
+
+    def names(self, folder: str) -> list[str]:
+        at = self.path(folder)
+        return [x.getPath().getName() for x in self.fs.listStatus(at)] if self.fs.exists(at) else []
+
+    def text(self, name: str) -> str:
+        stream = self.fs.open(self.path(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def create(self, name: str, text: str) -> bool:
+        """Makes a file with its whole text, or returns False where there is one of that name. One of several writers succeeds."""
+        part = f"{name}.{uuid.uuid4().hex}.part"
+        out = self.fs.create(self.path(part), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        try:
+            if not self.local:
+                return bool(self.fs.rename(self.path(part), self.path(name)))
+            try:
+                os.link(self.path(part).toUri().getPath(), self.path(name).toUri().getPath())
+                return True
+            except FileExistsError:
+                return False
+        finally:
+            self.fs.delete(self.path(part), False)
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self.path(name), True)
+
+
 @dataclass
 class Store:
     """A folder with the index's tables. Readers and the one writer meet in the manifest only."""
@@ -64,16 +134,16 @@ class Store:
     spark: SparkSession
     root: str
 
-    def _manifest(self) -> str:
-        return os.path.join(self.root, "manifest.json")
+    def __post_init__(self) -> None:
+        self.files = Files(self.spark, self.root)
+
+    def _at(self, *parts: str) -> str:
+        return "/".join((self.root.rstrip("/"), *parts))
 
     def manifest(self) -> dict:
-        """{"generation": n, "tables": {name: {bucket: path}}}; generation 0 for a new store."""
-        try:
-            with open(self._manifest(), encoding="utf-8") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {"generation": 0, "tables": {}}
+        """{"generation": n, "tables": {name: {bucket or segment: path}}}; generation 0 for a new store."""
+        numbers = [n for n in self.files.names(self._at("manifests")) if n.endswith(".json")]
+        return json.loads(self.files.text(self._at("manifests", max(numbers)))) if numbers else {"generation": 0, "tables": {}}
 
     @property
     def generation(self) -> int:
@@ -81,54 +151,80 @@ class Store:
 
     def read(self, table: str, at: dict | None = None) -> DataFrame:
         """A table as one manifest has it; pass the same manifest to read several tables of one generation."""
-        paths = sorted((at or self.manifest())["tables"].get(table, {}).values())
+        return self._open(table, sorted((at or self.manifest())["tables"].get(table, {}).values()))
+
+    def _open(self, table: str, paths: Sequence[str]) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(*[os.path.join(self.root, p) for p in paths])
+        return self.spark.read.schema(SCHEMAS[table]).parquet(*[self._at(p) for p in paths]).select(*SCHEMAS[table].names)
 
-    def _write(self, table: str, df: DataFrame, generation: int, key: str) -> str:
-        path = os.path.join(table, f"g{generation:08d}-{key}-{uuid.uuid4().hex[:8]}")
-        df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[table]]).write.parquet(os.path.join(self.root, path))
+    def postings(self, terms: Sequence[str], prefixes: Sequence[str] = (), at: dict | None = None) -> DataFrame:
+        """The postings of some terms and of all that begin with one of some prefixes: only the folders of their first letters are read."""
+        paths = sorted((at or self.manifest())["tables"].get("postings", {}).values())
+        if not paths:
+            return self.spark.createDataFrame([], SCHEMAS["postings"])
+        where = F.col("term").isin(*terms) if terms else F.lit(False)
+        for p in prefixes:
+            where = where | F.col("term").startswith(p)
+        heads = sorted({head(t) for t in (*terms, *prefixes) if len(t) >= HEAD})
+        rows = self.spark.read.schema(T.StructType([*SCHEMAS["postings"], T.StructField("head", _I)])).option("basePath", self._at("postings")).parquet(*[self._at(p) for p in paths])
+        if all(len(t) >= HEAD for t in prefixes):
+            short = sorted({head(t) for t in terms if len(t) < HEAD})
+            rows = rows.where(F.col("head").isin(*heads, *short))
+        return rows.where(where).select(*SCHEMAS["postings"].names)
+
+    def _write(self, table: str, df: DataFrame, generation: int, by: str | None = None) -> str:
+        path = f"{table}/{'part=' if table in SEGMENTS else ''}g{generation:08d}-{uuid.uuid4().hex[:8]}"
+        writer = df.write
+        (writer.partitionBy(by) if by else writer).parquet(self._at(path))
         return path
 
     def commit(self, changes: Mapping[str, DataFrame], documents: DataFrame | None = None, expected: int | None = None) -> int:
         """Replaces tables, or of the tables in OF_DOCUMENT the rows of ``documents``, in one step; returns the new generation.
 
-        ``expected`` is the generation the changes were made from: if another commit came first, nothing changes and a conflict is raised."""
+        ``expected`` is the generation the changes were made from: if another commit came first, nothing changes and a conflict is raised.
+        Each table is written once, and of OF_DOCUMENT only the buckets that hold one of the documents are read."""
         before = self.manifest()
         if expected is not None and before["generation"] != expected:
             raise RequestError("generation_conflict", f"{before['generation']} is not {expected}")
         generation = before["generation"] + 1
         tables = {t: dict(p) for t, p in before["tables"].items()}
-        touched: list[int] = []
+        touched: list[str] = []
         if documents is not None:
-            touched = sorted(r["b"] for r in documents.select(bucket(F.col("document_id")).alias("b")).distinct().collect())  # BUCKETS at most
+            documents = documents.select("document_id").distinct()
+            touched = [str(r["b"]) for r in documents.select(bucket(F.col("document_id")).alias("b")).distinct().collect()]  # BUCKETS at most
         for table, new in changes.items():
-            if table in OF_DOCUMENT and documents is not None:
-                held = tables.get(table, {})
-                for b in touched:
-                    fresh = new.where(bucket(F.col("document_id")) == b)
-                    if str(b) in held:
-                        old = self.spark.read.schema(SCHEMAS[table]).parquet(os.path.join(self.root, held[str(b)]))
-                        fresh = fresh.select(*[F.col(f.name).cast(f.dataType) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[table]])
-                        fresh = old.join(documents.select("document_id").distinct(), "document_id", "left_anti").select(*SCHEMAS[table].names).unionByName(fresh)
-                    held[str(b)] = self._write(table, fresh, generation, str(b))
-                tables[table] = held
+            new = shaped(table, new)
+            if table in SEGMENTS:
+                rows = new.withColumn("segment", F.lit(generation).cast("long")).withColumn("head", head_column(F.col("term")))
+                tables.setdefault(table, {})[f"g{generation:08d}"] = self._write(table, rows.repartition("head", F.xxhash64("term") % 4).sortWithinPartitions("head", "term"), generation, "head")
+            elif table in OF_DOCUMENT and documents is not None:
+                held = tables.setdefault(table, {})
+                old = self._open(table, [held.pop(b) for b in touched if b in held])
+                if table == "lengths":
+                    new = new.withColumn("segment", F.lit(generation).cast("long"))
+                rows = old.join(documents, "document_id", "left_anti").select(*SCHEMAS[table].names).unionByName(new).withColumn("_bucket", bucket(F.col("document_id")))
+                path = self._write(table, rows.repartition("_bucket"), generation, "_bucket")
+                held |= {n.removeprefix("_bucket="): f"{path}/{n}" for n in self.files.names(self._at(path)) if n.startswith("_bucket=")}
             else:
-                tables[table] = {"all": self._write(table, new, generation, "all")}
-        self._replace({"generation": generation, "tables": tables}, before["generation"])
+                tables[table] = {"all": self._write(table, new, generation)}
+        if not self.files.create(self._at("manifests", f"{generation:012d}.json"), json.dumps({"generation": generation, "tables": tables})):
+            raise RequestError("generation_conflict", "another commit came first")
         return generation
 
-    def _replace(self, manifest: dict, expected: int) -> None:
-        os.makedirs(self.root, exist_ok=True)
-        if self.manifest()["generation"] != expected:
+    def compact(self) -> int:
+        """One segment of all postings in place of several, without those of rows that are gone; returns the new generation."""
+        at = self.manifest()
+        lengths = self.read("lengths", at)
+        live = self.read("postings", at).join(lengths.select("scope", "id", "segment"), ["scope", "id", "segment"], "left_semi")
+        generation = at["generation"] + 1
+        rows = live.withColumn("segment", F.lit(generation).cast("long")).withColumn("head", head_column(F.col("term")))
+        path = self._write("postings", rows.repartition("head", F.xxhash64("term") % 4).sortWithinPartitions("head", "term"), generation, "head")
+        moved = self._write("lengths", lengths.withColumn("segment", F.lit(generation).cast("long")).withColumn("_bucket", bucket(F.col("document_id"))).repartition("_bucket"), generation, "_bucket")
+        tables = at["tables"] | {"postings": {f"g{generation:08d}": path}, "lengths": {n.removeprefix("_bucket="): f"{moved}/{n}" for n in self.files.names(self._at(moved)) if n.startswith("_bucket=")}}
+        if not self.files.create(self._at("manifests", f"{generation:012d}.json"), json.dumps({"generation": generation, "tables": tables})):
             raise RequestError("generation_conflict", "another commit came first")
-        path = f"{self._manifest()}.{uuid.uuid4().hex}"
-        with open(path, "w", encoding="utf-8") as f:
-            json.dump(manifest, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(path, self._manifest())
+        return generation
 
     def active_passages(self, project: str | None = None, at: dict | None = None) -> DataFrame:
         """Passages of the active revision of documents that are there: what every search reads."""
@@ -140,17 +236,21 @@ class Store:
         return self.read("passages", at).join(live, ["document_id", "revision_id"], "left_semi")
 
     def vacuum(self) -> int:
-        """Deletes the files that the manifest no longer names; returns how many folders went."""
-        import shutil
-
-        kept = {p for t in self.manifest()["tables"].values() for p in t.values()}
+        """Deletes the files that the newest manifest no longer names, and older manifests; returns how many folders went."""
+        at = self.manifest()
+        named = {p for t in at["tables"].values() for p in t.values()}
+        inside = {"/".join(p.split("/")[:2]) for p in named}
         gone = 0
         for table in SCHEMAS:
-            folder = os.path.join(self.root, table)
-            for name in os.listdir(folder) if os.path.isdir(folder) else ():
-                if os.path.join(table, name) not in kept:
-                    shutil.rmtree(os.path.join(folder, name))
-                    gone += 1
+            for name in self.files.names(self._at(table)):
+                path = f"{table}/{name}"
+                parts = [path] if path not in inside else [f"{path}/{x}" for x in self.files.names(self._at(path)) if x.startswith("_bucket=") and f"{path}/{x}" not in named]
+                for part in parts:
+                    self.files.delete(self._at(part))
+                gone += len(parts)
+        for name in self.files.names(self._at("manifests")):
+            if name != f"{at['generation']:012d}.json":
+                self.files.delete(self._at("manifests", name))
         return gone
 
 
