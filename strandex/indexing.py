@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import posixpath
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import name_key
+from .operators.inventory import renames
 from .operators.sections import Block, deterministic_id, passages_of
 from .runtime import ship
 from .service import text_index
 from .sources.extract import extract_files, read_files
 from .sources.formats import BY_EXTENSION
-from .store import PREPARATION, SCHEMAS, Store, activate, observe, reconcile, tombstone
+from .store import PREPARATION, SCHEMAS, Store, activate, observe, reconcile, rename, tombstone
 
 
 def listing(spark: SparkSession, project: str, folder: str) -> DataFrame:
@@ -82,31 +85,67 @@ def _place(b: Block | None) -> dict | None:
     return {"kind": b.kind, "page": b.page, "sheet": b.sheet, "cell_range": b.cell_range, "slide": b.slide, "structure_path": b.path, "email_part": b.email_part, "image_frame": b.frame, "region": None, "layout_warning": b.warning}
 
 
+def moves(own: DataFrame, seen: DataFrame, known: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """(project_id, old_key, path, path_key, file_name, extension) of files that were renamed: known documents that are gone and new files with their
+    size, time and content, where these leave no choice on either side. Only files of such a size and time are read."""
+    gone = own.join(seen.select("project_id", "path_key"), ["project_id", "path_key"], "left_anti").where("sha256 IS NOT NULL")
+    new = seen.join(known.where("NOT tombstoned").select("project_id", "path_key"), ["project_id", "path_key"], "left_anti").join(gone.select("size", "modified_utc").distinct(), ["size", "modified_utc"], "left_semi")
+    kept = new.persist()
+    try:
+        if not kept.limit(1).count():
+            return spark.createDataFrame([], "project_id string, old_key string, path string, path_key string, file_name string, extension string")
+        files = read_files(spark, folder).withColumn("path", F.regexp_replace("path", "^file:/*", "/")).join(kept.select("path"), "path", "left_semi").select("path", F.sha2("content", 256).alias("sha256"))
+        hashed = kept.join(files, "path")
+        pairs = renames(gone.select("sha256", F.col("path_key").alias("k")), hashed.select("sha256", F.col("path_key").alias("k")), "sha256", "k").select(F.col("old").alias("old_key"), F.col("new").alias("path_key"))
+        return hashed.join(pairs, "path_key").select("project_id", "old_key", "path", "path_key", "file_name", "extension")
+    finally:
+        kept.unpersist()
+
+
 def index_folder(store: Store, project: str, folder: str, embed: Callable[[Column], Column] | None = None, policy: str = "none", force: bool = False) -> dict[str, int]:
-    """Brings a project's index in line with a folder; returns how many documents were indexed, were unchanged and were deleted.
+    """Brings a project's index in line with a folder; returns how many documents were indexed, were unchanged and were deleted, and, where there were
+    any, how many were renamed, changed while they were read, or could not be reached.
 
     The listing is compared with the known documents by size and time before anything is read; only changed files are opened, in parallel,
-    and one commit replaces their rows. A file whose content is what was indexed, by the same preparation, keeps its revision."""
+    and one commit replaces their rows. A file whose content is what was indexed, by the same preparation, keeps its revision. A new file with
+    the content of one that is gone is the same document under another name, and keeps its id. A file that has changed while it was read is
+    left as it was, to be read again. Of a folder that cannot be listed, or is empty though documents of it are known, nothing is deleted:
+    its documents are marked as not available."""
     ship(store.spark)
-    held: list[DataFrame] = []
+    work = f"{store.root.rstrip('/')}/_work/{uuid4().hex}"
     try:
-        return _index(store, project, folder, embed, policy, force, held)
+        return _index(store, project, folder, embed, policy, force, work)
     finally:
-        for df in held:  # a listing must not be found again by its plan
-            df.unpersist()
+        store.files.delete(work)
 
 
-def _index(store: Store, project: str, folder: str, embed: Callable[[Column], Column] | None, policy: str, force: bool, held: list[DataFrame]) -> dict[str, int]:
+def _index(store: Store, project: str, folder: str, embed: Callable[[Column], Column] | None, policy: str, force: bool, work: str) -> dict[str, int]:
+    spark = store.spark
+
     def keep(df: DataFrame) -> DataFrame:
-        held.append(df.persist())
-        return df
+        """df as a table in the store's folder for the time of the run: used several times, its plan is not carried into later ones."""
+        path = f"{work}/{uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
 
-    spark = store.spark
     at = store.manifest()
     known = store.read("documents", at)
-    seen = keep(listing(spark, project, folder))
-    docs, changed = observe(known, seen, force)
-    gone = reconcile(known.where(F.col("project_id") == project), seen, spark.createDataFrame([(folder,)], "folder_id string"))
+    own = known.where((F.col("project_id") == project) & (F.col("folder_id") == folder) & ~F.col("tombstoned"))
+    try:
+        seen = keep(listing(spark, project, folder))
+        reached = seen.limit(1).count() > 0 or not own.limit(1).count()
+    except AnalysisException:
+        reached = False
+    if not reached:
+        lost = own.count()
+        if own.where("available").limit(1).count():
+            away = (F.col("project_id") == project) & (F.col("folder_id") == folder) & ~F.col("tombstoned")
+            store.commit({"documents": known.withColumn("available", F.col("available") & ~away)}, expected=at["generation"])
+        return {"indexed": 0, "unchanged": 0, "deleted": 0, "unavailable": lost}
+    moved = keep(moves(own, seen, known, spark, folder))
+    docs, changed = observe(rename(known, moved), seen, force)
+    changed = changed.unionByName(docs.join(moved.select("project_id", "path_key"), ["project_id", "path_key"], "left_semi").select("id")).distinct()
+    gone = reconcile(docs.where(F.col("project_id") == project), seen, spark.createDataFrame([(folder,)], "folder_id string"))
     docs = keep(tombstone(docs, gone))
     todo = keep(docs.join(changed, "id", "left_semi").select(F.col("id").alias("document_id"), "project_id", "path", "file_name", F.col("sha256").alias("_old"), "active_revision_id"))
     n = todo.count()
@@ -115,7 +154,20 @@ def _index(store: Store, project: str, folder: str, embed: Callable[[Column], Co
         return result
     files = read_files(spark, folder).withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
     opened = keep(extract_files(files.join(todo.select("path"), "path", "left_semi")).join(todo, "path"))
-    fresh = opened.where(F.lit(force) | ~(F.col("sha256").eqNullSafe(F.col("_old")) & F.col("active_revision_id").isNotNull()))
+    # files that are no longer what was listed are read another time
+    still = listing(spark, project, folder).join(seen.select("path", "size", "modified_utc"), ["path", "size", "modified_utc"], "left_semi").select("path")
+    steady = keep(opened.join(still, "path", "left_semi"))
+    unsteady = opened.count() - steady.count()
+    renamed = moved.select("path")
+    fresh = keep(steady.join(renamed.withColumn("_moved", F.lit(True)), "path", "left").where(F.lit(force) | F.coalesce("_moved", F.lit(False)) | ~(F.col("sha256").eqNullSafe(F.col("_old")) & F.col("active_revision_id").isNotNull())))
+    if unsteady:
+        result["changed_meanwhile"] = unsteady
+        late = todo.join(steady.select("document_id"), "document_id", "left_anti").select(F.col("document_id").alias("id"))
+        before = known.select(F.col("id"), *[F.col(c).alias(f"_{c}") for c in ("size", "modified_utc")]).join(late, "id", "left_semi").withColumn("_late", F.lit(True))
+        docs = docs.join(late.withColumn("_l", F.lit(True)), "id", "left").join(before, "id", "left")
+        docs = docs.withColumns({c: F.when(F.col("_l"), F.col(f"_{c}")).otherwise(F.col(c)) for c in ("size", "modified_utc")}).drop("_l", "_late", "_size", "_modified_utc")
+    if n_moved := moved.count():
+        result["renamed"] = n_moved
     made = keep(prepare(fresh))
     touched = made.select("document_id")
     part = lambda c: made.select(F.explode(c).alias("x")).select("x.*")

@@ -66,8 +66,9 @@ def fail_job(state: Column, attempt: Column, retryable: Column, now: Column) ->
 
 
 def merge_open_jobs(requests: DataFrame, document: str, kind: str, time: str) -> DataFrame:
-    """One open job a document: the earliest request's time, and ``reindex`` if any request asks for it."""
-    return requests.groupBy(document).agg(F.min(time).alias(time), F.when(F.max(F.when(F.col(kind) == "reindex", 1).otherwise(0)) == 1, F.lit("reindex")).otherwise(F.lit("index")).alias(kind), F.count(F.lit(1)).alias("requests"))
+    """One open job a document: the earliest request's time, and the kind that does most of those asked for: ``reindex``, ``index``, ``refresh``."""
+    weight = F.max(F.when(F.col(kind) == "reindex", 2).when(F.col(kind) == "refresh", 0).otherwise(1))
+    return requests.groupBy(document).agg(F.min(time).alias(time), F.when(weight == 2, F.lit("reindex")).when(weight == 1, F.lit("index")).otherwise(F.lit("refresh")).alias(kind), F.count(F.lit(1)).alias("requests"))
 
 
 def missing(known: DataFrame, listed: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -190,3 +191,13 @@ def decode_cursor(cursor: str, filters: Mapping[str, Any], generation: int) -> l
     if made != generation:
         raise RequestError("stale_cursor", "the index has changed")
     return after
+
+
+def processing_times(events: DataFrame, keys: Sequence[str], job: str, state: str, time: str, waiting: Sequence[str] = ("waiting",), ended: str = "completed") -> DataFrame:
+    """(keys, jobs, average_seconds): the mean time that ended jobs were worked on, from a log of their states.
+
+    A state lasts until the job's next one; states of ``waiting`` and what comes before the first or after the last don't count."""
+    w = Window.partitionBy(job).orderBy(time, state)
+    each = events.withColumn("_until", F.lead(time).over(w)).withColumn("_s", F.when(~F.col(state).isin(*waiting), F.unix_micros(F.col("_until").cast("timestamp")) - F.unix_micros(F.col(time).cast("timestamp"))))
+    jobs = each.groupBy(*keys, job).agg(F.sum("_s").alias("_s"), F.max(F.col(state) == ended).alias("_done")).where("_done")
+    return jobs.groupBy(*keys).agg(F.count(F.lit(1)).alias("jobs"), (F.avg(F.coalesce("_s", F.lit(0))) / 1e6).alias("average_seconds"))

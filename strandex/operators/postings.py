@@ -2,42 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .clauses import Clause
 from .ranking import B, K1, idf
 
-_POSTINGS = "array<struct<field:string,term:string,positions:array<int>>>"
-
-
 def index_rows(rows: DataFrame, scope: str, id_col: str, fields: Mapping[str, str], carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(scope, id, field, term, positions) and (scope, id, carry, length) of rows whose ``fields`` are columns of canonical text.
-
-    A map over the rows: each row's terms are gathered where the row is, and nothing is shuffled. Null fields are empty; a row without any text
-    has a length of 0 and no postings. Repeated rows give repeated postings."""
-    names = list(fields)
-
-    @F.pandas_udf(_POSTINGS)
-    def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for part in parts:
-            out = []
-            for texts in zip(*((part,) if isinstance(part, pd.Series) else part)):
-                made = []
-                for field, text in zip(names, texts):
-                    places: dict[str, list[int]] = {}
-                    for at, term in enumerate(text.split() if text else ()):
-                        places.setdefault(term, []).append(at)
-                    made += [{"field": field, "term": term, "positions": at} for term, at in places.items()]
-                out.append(made)
-            yield pd.Series(out)
-
-    made = rows.select(F.lit(scope).alias("scope"), F.col(id_col).cast("string").alias("id"), *carry, run(*[F.col(c) for c in fields.values()]).alias("_p"))
-    length = F.aggregate("_p", F.lit(0).cast("bigint"), lambda n, x: n + F.size(x["positions"]))
-    return made.select("scope", "id", F.explode("_p").alias("p")).select("scope", "id", "p.*"), made.select("scope", "id", *carry, length.alias("length"))
+    """(scope, id, field, term, positions) and (scope, id, carry, length) of rows, one an id, whose ``fields`` are columns of canonical text.
+
+    Null fields are empty; a row without any text has a length of 0 and no postings. Terms are shuffled once, by row, field and term."""
+    words = lambda c: F.filter(F.split(F.coalesce(F.col(c), F.lit("")), " "), lambda w: w != "")
+    key = [F.lit(scope).alias("scope"), F.col(id_col).cast("string").alias("id")]
+    stacked = rows.select(*key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), words(c).alias("w")) for f, c in fields.items()])).alias("x"))
+    terms = stacked.select("scope", "id", "x.field", F.posexplode("x.w").alias("at", "term"))
+    postings = terms.groupBy("scope", "id", "field", "term").agg(F.array_sort(F.collect_list("at")).alias("positions"))
+    return postings, rows.select(*key, *carry, sum((F.size(words(c)) for c in fields.values()), F.lit(0)).cast("bigint").alias("length"))
 
 
 def sought(clauses: Sequence[Clause]) -> tuple[list[str], list[str]]:

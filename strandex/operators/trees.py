@@ -36,7 +36,8 @@ def descendants(expanded: DataFrame) -> DataFrame:
 
 
 def recursive_ancestors(spark, nodes: DataFrame, id_col: str, parent_col: str, start: DataFrame) -> DataFrame:
-    """(id, ancestor, steps) of a stated set of nodes, whatever their depth, by a recursive query."""
+    """(id, ancestor, steps) of the nodes of ``start`` by a recursive query. Spark's limits of recursion apply: by default a depth of 100 and a million
+    rows a level; a query over more raises an error, it never leaves rows out."""
     return spark.sql(f"""WITH RECURSIVE up(id, ancestor, steps) AS (
 SELECT {id_col}, {parent_col}, 1 FROM {{n}} WHERE {id_col} IN (SELECT {id_col} FROM {{s}}) AND {parent_col} IS NOT NULL
 UNION ALL SELECT up.id, n.{parent_col}, up.steps + 1 FROM up JOIN {{n}} n ON n.{id_col} = up.ancestor WHERE n.{parent_col} IS NOT NULL)

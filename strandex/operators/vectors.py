@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -42,30 +42,47 @@ def vector_top_k(rows: DataFrame, query: Sequence[float], k: int, id_col: str, v
     return scored.orderBy(F.col("score").desc(), F.col(id_col)).limit(k)
 
 
-def vector_top_k_many(rows: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int, id_col: str, vector_col: str, digits: int = 6) -> DataFrame:
-    """(query_id, id, score, rank): the k nearest rows of each of a stated set of queries, against all rows.
+def vector_top_k_many(rows: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, digits: int = 6, block: int = 4096) -> DataFrame:
+    """(query_id, id, score, rank): the k nearest rows of each of a set of queries, a frame of ids and vectors, against all rows.
 
-    Each batch of rows is multiplied with all queries at once, and only its k best for each query leave the task. The queries, given by the
-    caller, are sent along; the rows never are."""
-    ids = np.array([q for q, _ in queries], np.int64)
-    matrix = np.array([v for _, v in queries], np.float64)
+    Queries go to the tasks in blocks of about ``block``, by the hash of their ids; the driver holds one block at a time, and the rows are read once for
+    each. A task folds its batches into the k best of each query of the block, and only these are shuffled. Null vectors, and those of
+    another length than the query's, are left out; repeated query ids count once."""
     kind = rows.schema[id_col].dataType.simpleString()
+    asked = queries.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("query_id")).agg(F.first(vector_col).alias("v"))
+    blocks = max(1, -(-asked.count() // block))
+    best = None
+    for b in range(blocks):
+        held = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").collect()
+        for size in sorted({len(r["v"]) for r in held}):
+            found = _nearest(rows.select(id_col, vector_col).where(F.size(vector_col) == size), [(r["query_id"], r["v"]) for r in held if len(r["v"]) == size], k, id_col, vector_col, kind, digits)
+            best = found if best is None else best.unionByName(found)
+    if best is None:
+        best = rows.sparkSession.createDataFrame([], f"query_id bigint, {id_col} {kind}, score double")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_col))
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _nearest(rows: DataFrame, queries: list[tuple], k: int, id_col: str, vector_col: str, kind: str, digits: int) -> DataFrame:
+    """The k best rows of each task for each query of one block."""
+    ids = [q for q, _ in queries]
+    matrix = np.array([v for _, v in queries], np.float64).T
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores, names = np.empty((0, len(ids))), None  # the best so far, one column a query
         for part in parts:
-            part = part[[v is not None and len(v) == matrix.shape[1] for v in part[vector_col]]]
             if not len(part):
                 continue
-            scores = np.round(np.stack(part[vector_col].to_numpy()).astype(np.float64) @ matrix.T, digits)
-            names = part[id_col].to_numpy()
-            order = np.lexsort((np.broadcast_to(names[:, None], scores.shape), -scores), axis=0)[:k]
+            new = np.round(np.stack(part[vector_col].to_numpy()).astype(np.float64) @ matrix, digits)
+            own = np.broadcast_to(np.array(part[id_col].tolist())[:, None], new.shape)
+            scores, names = (new, own) if names is None else (np.concatenate([scores, new]), np.concatenate([names, own]))
+            order = np.lexsort((names, -scores), axis=0)[:k]
+            scores, names = np.take_along_axis(scores, order, 0), np.take_along_axis(names, order, 0)
+        if names is not None:
             for j, q in enumerate(ids):
-                at = order[:, j]
-                yield pd.DataFrame({"query_id": q, id_col: names[at], "score": scores[at, j]})
+                yield pd.DataFrame({"query_id": q, id_col: names[:, j].tolist(), "score": scores[:, j]})
 
-    best = rows.select(id_col, vector_col).mapInPandas(run, f"query_id bigint, {id_col} {kind}, score double")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_col))
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return rows.mapInPandas(run, f"query_id bigint, {id_col} {kind}, score double")
 
 
 def hashing_embedder(dimension: int = 64):
@@ -100,3 +117,24 @@ def identical_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFram
     """(vector_hash, n, first_id): vectors stored more than once, by hash with partial counts."""
     h = F.sha2(F.concat_ws(",", F.transform(vector_col, lambda x: x.cast("string"))), 256)
     return rows.where(F.col(vector_col).isNotNull()).groupBy(h.alias("vector_hash")).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_id")).where("n > 1")
+
+
+def in_batches(texts: Sequence[str], embed: Callable[[list[str]], Sequence], size: int = 32) -> list:
+    """The vectors of texts in their order, made in batches of texts of about one length. A batch that runs out of memory is halved, and so are those
+    after it; a single text that does raises the error."""
+    order = sorted(range(len(texts)), key=lambda i: (-len(texts[i]), i))
+    out: list = [None] * len(texts)
+    at = 0
+    while at < len(order):
+        part = order[at : at + size]
+        try:
+            made = embed([texts[i] for i in part])
+        except MemoryError:
+            if len(part) == 1:
+                raise
+            size = max(1, len(part) // 2)
+            continue
+        for i, v in zip(part, made, strict=True):
+            out[i] = v
+        at += len(part)
+    return out

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_tokens
 from ..operators import clauses as C
+from ..operators import postings as Index
 from ..operators import ranking as R
 from ..operators import vectors as V
-from .common import Registry, table
+from ..store import Store, head_column
+from .common import Registry, shared_folder, table
 
 R_ = Registry()
 
@@ -20,9 +24,12 @@ def canon(c: str) -> str:
     return f"coalesce(array_to_string({TOKENS.format(c=c)}, ' '), '')"
 
 
-def passages(spark: SparkSession, d: str) -> DataFrame:
-    """The latest row of each passage: repeated rows differ in their load time only."""
-    return table(spark, d, "passages").drop("ingested_at").dropDuplicates(["id"])
+def passages(spark: SparkSession, d: str, *cols: str, where: str | None = None) -> DataFrame:
+    """The latest row of each passage, with the columns asked for. Rows are filtered and narrowed before they are shuffled by id."""
+    rows = table(spark, d, "passages")
+    rows = rows if where is None else rows.where(where)
+    wanted = [c for c in (cols or rows.columns) if c not in ("id", "ingested_at")]
+    return rows.groupBy("id").agg(F.max_by(F.struct(*wanted), "ingested_at").alias("_r")).select("id", "_r.*")
 
 
 def with_canonical(df: DataFrame, **cols: str) -> DataFrame:
@@ -68,7 +75,7 @@ def _fields_sql() -> str:
 @R_.add(_fields_sql())
 def keyword_bm25_fields(spark: SparkSession, d: str) -> DataFrame:
     """Fifty best passages for two words over four weighted fields, each clause and field a phrase of its own."""
-    rows = with_canonical(passages(spark, d).select("id", *[c for c, _ in _FIELDS.values()]), **{f"k_{f}": c for f, (c, _) in _FIELDS.items()})
+    rows = with_canonical(passages(spark, d, *[c for c, _ in _FIELDS.values()]), **{f"k_{f}": c for f, (c, _) in _FIELDS.items()})
     words = [C.Clause("a", "archive", "should", fields=tuple(_FIELDS)), C.Clause("b", "plan", "should", fields=tuple(_FIELDS))]
     got = R.bm25(rows.select("id", *[f"k_{f}" for f in _FIELDS]), "id", {f: f"k_{f}" for f in _FIELDS}, words, {f: w for f, (_, w) in _FIELDS.items()})
     return R.top(got.withColumn("score", F.round("score", 6)), "score", "id", 50).select("id", "score")
@@ -103,6 +110,21 @@ def keyword_batch(spark: SparkSession, d: str) -> DataFrame:
     return R.ranked(scored, [F.col("score").desc(), F.col("id")], "rank", ["query_id"]).where("rank <= 10").select("query_id", F.col("id").alias("doc_id"), "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+@R_.add(_BATCH)
+def keyword_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a stored index: it is written once, then only the folders of the queries' terms are read."""
+    store = Store(spark, f"{shared_folder(spark)}/keyword-index-{uuid4().hex[:8]}")
+    docs = with_canonical(table(spark, d, "documents").select("doc_id", "text"), body="text").drop("text")
+    postings, lengths = Index.index_rows(docs.withColumn("document_id", F.col("doc_id").cast("string")), "document", "doc_id", {"body": "body"}, ["document_id"])
+    store.commit({"postings": postings, "lengths": lengths}, lengths)
+    terms = table(spark, d, "eval_queries").where("query_id % 50 = 0").select("query_id", F.explode(ascii_tokens(F.col("text"))).alias("term")).distinct()
+    heads = [r["h"] for r in terms.select(head_column(F.col("term")).alias("h")).distinct().collect()]  # HEADS at most
+    at = store.manifest()
+    held = store.postings_of(heads, at).select("id", "field", "term", F.size("positions").alias("tf"))
+    scored = R.bm25_postings(held.join(terms.select("term").distinct(), "term", "left_semi"), store.read("lengths", at).select("id", "length"), terms, {"body": 1.0}).withColumn("score", F.round("score", 5)).withColumn("doc_id", F.col("id").cast("bigint"))
+    return R.ranked(scored, [F.col("score").desc(), F.col("doc_id")], "rank", ["query_id"]).where("rank <= 10").select("query_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 CLAUSES = [
     C.Clause("m", "depot", "must", "prefix", ("body",)),
     C.Clause("s1", "with the label", "should", "phrase", ("body",)),
@@ -117,7 +139,7 @@ FROM e WHERE m AND NOT n"""
 
 
 def _evaluated(spark: SparkSession, d: str):
-    rows = with_canonical(passages(spark, d).select("id", "document_id", "body_text", "title", "heading"), k_body="body_text", k_title="title", k_heading="heading")
+    rows = with_canonical(passages(spark, d, "document_id", "content_id", "body_text", "title", "heading"), k_body="body_text", k_title="title", k_heading="heading")
     fields = {"body": F.col("k_body"), "title": F.col("k_title"), "heading": F.col("k_heading")}
     return rows, fields
 
@@ -150,21 +172,23 @@ def clause_optional_boost(spark: SparkSession, d: str) -> DataFrame:
 
 _RERANK = f"""WITH {P}, k AS (SELECT id, ' ' || {canon('body_text')} || ' ' AS b, ' ' || {canon('heading')} || ' ' AS h FROM p),
 e AS (SELECT id, contains(b, ' depot ') AS m, contains(b, ' label ')::INT + contains(h, ' archive ')::INT AS s, length(b) AS len FROM k),
-mn AS (SELECT id, s, row_number() OVER (ORDER BY len DESC, id) AS r FROM e WHERE m), op AS (SELECT id, row_number() OVER (ORDER BY s DESC, len DESC, id) AS r FROM e WHERE m AND s > 0),
-z AS (SELECT mn.id, s, mn.r AS base, 1.0 / (60 + mn.r) + coalesce(CASE WHEN s > 0 THEN 0.6 * (s / 2.0) / (60 + op.r) END, 0) AS score FROM mn LEFT JOIN op USING (id))
+mn AS (SELECT id, s, row_number() OVER (ORDER BY len DESC, id) AS r FROM e WHERE m QUALIFY r <= 1000), ob AS (SELECT id, s, row_number() OVER (ORDER BY s DESC, len DESC, id) AS r FROM e WHERE m AND s > 0 QUALIFY r <= 1000),
+mm AS (SELECT count(*) AS n FROM mn),
+z AS (SELECT id, coalesce(mn.s, ob.s) AS s, coalesce(mn.r, n + ob.r) AS base, 1.0 / (60 + coalesce(mn.r, n + ob.r)) + coalesce(CASE WHEN coalesce(mn.s, ob.s) > 0 THEN 0.6 * (coalesce(mn.s, ob.s) / 2.0) / (60 + ob.r) END, 0) AS score FROM mn FULL JOIN ob USING (id), mm)
 SELECT id, round(score, 9) AS keyword_score, row_number() OVER (ORDER BY round(score, 12) DESC, base, id) AS keyword_rank FROM z"""
 
 
 @R_.add(_RERANK)
 def keyword_rerank(spark: SparkSession, d: str) -> DataFrame:
-    """Main and optional candidates in one order."""
+    """Main and optional candidates, at most a thousand each, in one order."""
     rows, fields = _evaluated(spark, d)
     q = [C.Clause("m", "depot", "must", fields=("body",)), C.Clause("a", "label", "should", fields=("body",)), C.Clause("b", "archive", "should", fields=("heading",))]
     e = C.evaluate(q, fields, 0)
     size = F.length("k_body") + F.when(F.length("k_body") >= 0, 2)
     found = rows.where(e.matches).select("id", e.should_matched.alias("should_matched"), size.alias("len")).withColumn("matches", F.lit(True))
-    main = R.ranked(found, [F.col("len").desc(), F.col("id")], "rank").drop("len")
-    optional = R.ranked(found.where("should_matched > 0"), [F.col("should_matched").desc(), F.col("len").desc(), F.col("id")], "rank").drop("len")
+    by_length, by_matches = [F.col("len").desc(), F.col("id")], [F.col("should_matched").desc(), F.col("len").desc(), F.col("id")]
+    main = R.ranked(found.orderBy(*by_length).limit(1000).persist(), by_length, "rank").drop("len")
+    optional = R.ranked(found.where("should_matched > 0").orderBy(*by_matches).limit(1000), by_matches, "rank").drop("len")
     return R.keyword_rerank(main, optional, "id", 2, 3, 0).select("id", F.round("keyword_score", 9).alias("keyword_score"), F.col("keyword_rank").cast("bigint").alias("keyword_rank"))
 
 
@@ -188,8 +212,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 def _many(spark: SparkSession, d: str, k: int) -> DataFrame:
     e = table(spark, d, "embeddings")
-    queries = [(r["vec_id"], r["embedding"]) for r in e.where("vec_id % 50 = 0").select("vec_id", "embedding").orderBy("vec_id").collect()]
-    return V.vector_top_k_many(e, queries, k, "vec_id", "embedding").select("query_id", "vec_id", "score", F.col("rank").cast("bigint").alias("rank"))
+    return V.vector_top_k_many(e, e.where("vec_id % 50 = 0").select("vec_id", "embedding"), k, "vec_id", "embedding").select("query_id", "vec_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @R_.add(_MANY)
@@ -243,7 +266,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC,
 
 
 def _groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    hits = _fused(spark, d).withColumn("score", F.round("score", 9)).join(passages(spark, d).select("id", "document_id", "content_id"), "id")
+    hits = _fused(spark, d).withColumn("score", F.round("score", 9)).join(passages(spark, d, "document_id", "content_id"), "id")
     groups = R.group_hits(hits, ["document_id", "content_id"], "score", "id")
     return groups, R.limit_per_document(groups, "document_id", [F.col("score").desc(), F.col("document_id"), F.col("content_id")], 3, 20)
 
@@ -265,7 +288,7 @@ def fusion_suppressed(spark: SparkSession, d: str) -> DataFrame:
 def section_corroboration(spark: SparkSession, d: str) -> DataFrame:
     """Bonus of sections with several good passages for a query, by vectors of hashed tokens."""
     embed = V.hashing_embedder()
-    rows = passages(spark, d).where("section_id IS NOT NULL").select("id", "section_id", "section_offset", "body_text", "heading", "display_text")
+    rows = passages(spark, d, "section_id", "section_offset", "body_text", "heading", "display_text", where="section_id IS NOT NULL")
     query = spark.range(1).select(embed(F.lit("the depot returned pallets with the label")).alias("q")).first()[0]
     scored = rows.withColumn("v", embed("body_text")).withColumn("score", V.dot(F.col("v"), F.array(*[F.lit(float(x)) for x in query])))
     return R.corroboration(scored.withColumn("only", F.coalesce(F.trim("display_text") == F.trim("heading"), F.lit(False))), "section_id", "score", "section_offset", "id", "only")

@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import json
 import os
+import posixpath
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.text import name_key
 from .operators.clauses import RequestError
 from .operators.inventory import fail_job, latest_by, merge_open_jobs, missing, newest
 
@@ -63,7 +65,7 @@ SEGMENTS = ("postings",)
 
 
 #: Letters of a term that decide its folder in the text index, and the number of folders.
-HEAD, HEADS = 2, 256
+HEAD, HEADS = 2, 64
 
 
 def head(term: str) -> int:
@@ -156,22 +158,27 @@ class Store:
     def _open(self, table: str, paths: Sequence[str]) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(*[self._at(p) for p in paths]).select(*SCHEMAS[table].names)
+        reader = self.spark.read.schema(SCHEMAS[table])
+        if table in SEGMENTS:
+            reader = reader.option("basePath", self._at(table))
+        return reader.parquet(*[self._at(p) for p in paths]).select(*SCHEMAS[table].names)
 
     def postings(self, terms: Sequence[str], prefixes: Sequence[str] = (), at: dict | None = None) -> DataFrame:
         """The postings of some terms and of all that begin with one of some prefixes: only the folders of their first letters are read."""
-        paths = sorted((at or self.manifest())["tables"].get("postings", {}).values())
-        if not paths:
-            return self.spark.createDataFrame([], SCHEMAS["postings"])
         where = F.col("term").isin(*terms) if terms else F.lit(False)
         for p in prefixes:
             where = where | F.col("term").startswith(p)
-        heads = sorted({head(t) for t in (*terms, *prefixes) if len(t) >= HEAD})
+        if any(len(p) < HEAD for p in prefixes):
+            return self.read("postings", at).where(where)
+        return self.postings_of({head(t) for t in (*terms, *prefixes)}, at).where(where)
+
+    def postings_of(self, heads: Iterable[int], at: dict | None = None) -> DataFrame:
+        """The postings in some folders, of HEADS that there are."""
+        paths = sorted((at or self.manifest())["tables"].get("postings", {}).values())
+        if not paths:
+            return self.spark.createDataFrame([], SCHEMAS["postings"])
         rows = self.spark.read.schema(T.StructType([*SCHEMAS["postings"], T.StructField("head", _I)])).option("basePath", self._at("postings")).parquet(*[self._at(p) for p in paths])
-        if all(len(t) >= HEAD for t in prefixes):
-            short = sorted({head(t) for t in terms if len(t) < HEAD})
-            rows = rows.where(F.col("head").isin(*heads, *short))
-        return rows.where(where).select(*SCHEMAS["postings"].names)
+        return rows.where(F.col("head").isin(*sorted(heads))).select(*SCHEMAS["postings"].names)
 
     def _write(self, table: str, df: DataFrame, generation: int, by: str | None = None) -> str:
         path = f"{table}/{'part=' if table in SEGMENTS else ''}g{generation:08d}-{uuid.uuid4().hex[:8]}"
@@ -369,3 +376,147 @@ def validate_folders(paths: Sequence[str]) -> list[str]:
             if i != j and (a == b or a.startswith(b.rstrip("/") + "/")):
                 raise RequestError("nested_folder", f"{a} lies in {b}")
     return clean
+
+
+# Projects, their jobs and files
+
+
+def create_project(projects: DataFrame, folders: DataFrame, project: str, name: str, paths: Sequence[str], now: Column) -> tuple[DataFrame, DataFrame]:
+    """(projects, folders) with a new project; a name that another has, whatever its case, and nested folders are refused."""
+    if projects.where((F.col("name_key") == name_key(name)) | (F.col("project_id") == project)).limit(1).count():
+        raise RequestError("project_exists", name)
+    new = projects.sparkSession.range(1).select(F.lit(project).alias("project_id"), F.lit(name).alias("name"), F.lit(name_key(name)).alias("name_key"), F.lit("active").alias("state"), F.lit(0).cast("long").alias("search_generation"), now.alias("created_utc"), now.alias("updated_utc"))
+    return projects.unionByName(new.select(*projects.columns)), folders.unionByName(_folders(folders, project, paths))
+
+
+def update_project(projects: DataFrame, folders: DataFrame, project: str, now: Column, name: str | None = None, paths: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(projects, folders) with another name or other folders of a project."""
+    own = F.col("project_id") == project
+    if name is not None and projects.where((F.col("name_key") == name_key(name)) & ~own).limit(1).count():
+        raise RequestError("project_exists", name)
+    out = projects.withColumn("updated_utc", F.when(own, now).otherwise(F.col("updated_utc")))
+    if name is not None:
+        out = out.withColumn("name", F.when(own, F.lit(name)).otherwise(F.col("name"))).withColumn("name_key", F.when(own, F.lit(name_key(name))).otherwise(F.col("name_key")))
+    return out.select(*projects.columns), folders if paths is None else folders.where(~own).unionByName(_folders(folders, project, paths))
+
+
+def _folders(folders: DataFrame, project: str, paths: Sequence[str]) -> DataFrame:
+    rows = [(f"{project}|{p}", project, p, p.upper()) for p in validate_folders(paths)]
+    return folders.sparkSession.createDataFrame(rows, SCHEMAS["project_folders"]).select(*folders.columns)
+
+
+def remove_project(store: Store, project: str) -> int:
+    """Removes a project with all its rows in one commit; returns the new generation."""
+    at = store.manifest()
+    other = F.col("project_id") != project
+    tables = {t: store.read(t, at) for t in at["tables"] if "project_id" in SCHEMAS[t].names}
+    gone = store.read("documents", at).where(~other).select(F.col("id").alias("document_id"))
+    return store.commit({t: df.where(other) if t not in OF_DOCUMENT else df.limit(0) for t, df in tables.items()}, gone, expected=at["generation"])
+
+
+def set_paused(projects: DataFrame, jobs: DataFrame, revisions: DataFrame, project: str, paused: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(projects, jobs, revisions) of a project paused or resumed. Pausing puts running jobs back and drops what they had begun."""
+    own = F.col("project_id") == project
+    out = projects.withColumn("state", F.when(own, F.lit("paused" if paused else "active")).otherwise(F.col("state")))
+    if not paused:
+        return out, jobs, revisions
+    stopped = own & (F.col("state") == "running")
+    back = jobs.withColumn("lease_until", F.when(stopped, F.lit(None)).otherwise(F.col("lease_until"))).withColumn("state", F.when(stopped, F.lit("queued")).otherwise(F.col("state")))
+    return out, back, revisions.where(~own | F.coalesce(F.col("status") != "staging", F.lit(True)))
+
+
+def runnable(jobs: DataFrame, projects: DataFrame) -> DataFrame:
+    """Jobs of projects that are not paused: what may be leased."""
+    return jobs.join(projects.where("state = 'paused'").select("project_id"), "project_id", "left_anti")
+
+
+def _requests(documents: DataFrame, kind: Column, now: Column) -> DataFrame:
+    """documents: id, project_id, observation_epoch."""
+    return documents.select(F.sha2(F.concat_ws("|", F.lit("job"), "id", F.col("observation_epoch").cast("string"), kind, now.cast("string")), 256).alias("id"), "project_id", F.col("id").alias("document_id"), kind.alias("kind"), F.col("observation_epoch").alias("expected_epoch"), now.alias("created_utc"))
+
+
+def request_reindex(documents: DataFrame, jobs: DataFrame, project: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(documents, jobs) after all documents of a project were asked to be indexed anew: each has a higher epoch and an open job."""
+    asked = (F.col("project_id") == project) & ~F.col("tombstoned")
+    docs = documents.withColumn("observation_epoch", F.col("observation_epoch") + asked.cast("long"))
+    return docs, request_jobs(jobs, _requests(docs.where(asked), F.lit("reindex"), now))
+
+
+def request_refresh(documents: DataFrame, jobs: DataFrame, revisions: DataFrame, passages: DataFrame, embeddings: DataFrame, policy: str, dimension: int, now: Column) -> DataFrame:
+    """jobs with one for each document that lacks vectors of a policy; a document prepared by another version is indexed anew."""
+    wanting = needs_refresh(passages, embeddings, policy, dimension).withColumnRenamed("document_id", "id")
+    old = revisions.where("status = 'active'").select(F.col("document_id").alias("id"), (F.col("preparation_version") != PREPARATION).alias("_old"))
+    docs = documents.where("NOT tombstoned").join(wanting, "id", "left_semi").join(old.groupBy("id").agg(F.max("_old").alias("_old")), "id", "left")
+    return request_jobs(jobs, _requests(docs, F.when(F.coalesce("_old", F.lit(True)), F.lit("reindex")).otherwise(F.lit("refresh")), now))
+
+
+def retry_failed(documents: DataFrame, jobs: DataFrame, project: str, now: Column) -> DataFrame:
+    """jobs with a new one for each document of a project whose latest job failed, of its kind: a failed refresh is refreshed, others are indexed.
+    Documents with an open job, and deleted ones, are left alone."""
+    last = latest_by(jobs.where(F.col("project_id") == project), ["document_id"], [F.col("state").isin("queued", "running", "retry_wait"), F.col("created_utc"), F.col("id")])
+    failed = last.where("state = 'failed'").select(F.col("document_id").alias("id"), F.when(F.col("kind") == "refresh", "refresh").otherwise("index").alias("_k"))
+    docs = documents.where("NOT tombstoned").join(failed, "id")
+    return request_jobs(jobs, _requests(docs, F.col("_k"), now))
+
+
+def rename(documents: DataFrame, moved: DataFrame) -> DataFrame:
+    """documents after files were renamed: each keeps its id, has its new names and a higher epoch. A document that had the new name before is
+    deleted, unless it is the same one.
+
+    moved: project_id, old_key, path, path_key, file_name, extension; the last of several moves of one file counts."""
+    m = latest_by(moved, ["project_id", "old_key"], [F.col("path_key")]).select("project_id", F.col("old_key").alias("path_key"), *[F.col(c).alias(f"_{c}") for c in ("path", "path_key", "file_name", "extension")])
+    j = documents.join(m, ["project_id", "path_key"], "left").withColumn("_hit", F.col("_path_key").isNotNull() & ~F.col("tombstoned"))
+    out = j.select(*[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in ("path", "path_key", "file_name", "extension") else (F.col(c) + F.col("_hit").cast("long")).alias(c) if c == "observation_epoch" else F.col(c) for c in documents.columns], "_hit")
+    taken = out.where("_hit").select("project_id", "path_key", F.col("id").alias("_by"))
+    out = out.join(taken, ["project_id", "path_key"], "left").withColumn("_dead", F.col("_by").isNotNull() & ~F.col("_hit") & ~F.col("tombstoned"))
+    return out.withColumn("observation_epoch", F.col("observation_epoch") + F.col("_dead").cast("long")).withColumn("active_revision_id", F.when(~F.col("_dead"), F.col("active_revision_id"))).withColumn("tombstoned", F.col("tombstoned") | F.col("_dead")).select(*documents.columns)
+
+
+def exclude(exclusions: DataFrame, project: str, path: str, now: Column) -> DataFrame:
+    """exclusions with a file; it stays excluded from the time it first was."""
+    new = exclusions.sparkSession.range(1).select(F.lit(project).alias("project_id"), F.lit(path.upper()).alias("path_key"), now.alias("created_utc"))
+    return exclusions.unionByName(new).groupBy("project_id", "path_key").agg(F.min("created_utc").alias("created_utc"))
+
+
+def include(exclusions: DataFrame, project: str, path: str) -> DataFrame:
+    return exclusions.where((F.col("project_id") != project) | (F.col("path_key") != path.upper()))
+
+
+def hide_issues(acknowledgements: DataFrame, issues: DataFrame, now: Column) -> DataFrame:
+    """acknowledgements with those of issues (project_id, signature)."""
+    return acknowledgements.unionByName(issues.select("project_id", "signature", now.alias("created_utc"))).groupBy("project_id", "signature").agg(F.min("created_utc").alias("created_utc"))
+
+
+def restore_issues(acknowledgements: DataFrame, issues: DataFrame) -> DataFrame:
+    return acknowledgements.join(issues.select("project_id", "signature").distinct(), ["project_id", "signature"], "left_anti")
+
+
+def commit_refresh(store: Store, vectors: DataFrame, policy: str, dimension: int) -> int:
+    """Replaces the vectors of the documents in ``vectors`` (passage_id, project_id, document_id, revision_id, vector), all or none: each passage of
+    theirs worth a vector must have one of the dimension, of its own revision. Returns the new generation."""
+    at = store.manifest()
+    documents = vectors.select("document_id").distinct()
+    wanted = store.active_passages(None, at).where("semantic_eligible").join(documents, "document_id", "left_semi").select(F.col("id").alias("passage_id"), "revision_id")
+    given = vectors.where(F.size("vector") == dimension).groupBy("passage_id", "revision_id").agg(F.count(F.lit(1)).alias("n"))
+    wrong = wanted.join(given, ["passage_id", "revision_id"], "full").where("n IS NULL OR n <> 1").limit(1).count() or given.join(wanted, ["passage_id", "revision_id"], "left_anti").limit(1).count()
+    if wrong:
+        raise RequestError("incomplete_vectors", "each passage needs one vector")
+    return store.commit({"embeddings": vectors.withColumn("policy_key", F.lit(policy))}, documents, expected=at["generation"])
+
+
+def authorised_prefixes(requested: Sequence[str], folders: Sequence[str], limit: int = 500) -> list[str]:
+    """Path prefixes of a search as absolute ones inside a project's folders: a relative one stands for that path in every folder. One that lies
+    outside, or climbs out by "..", is refused, as are more than ``limit``."""
+    roots = validate_folders(folders)
+    out: dict[str, None] = {}
+    for raw in requested:
+        path = raw.replace("\\", "/")
+        absolute = path.startswith("/") or path[1:3] == ":/"
+        clean = [posixpath.normpath(path)] if absolute else [posixpath.normpath(f"{r}/{path}") for r in roots]
+        for p, root in zip(clean, [None] if absolute else roots):
+            if not any(p == r or p.startswith(r.rstrip("/") + "/") for r in (roots if root is None else [root])):
+                raise RequestError("outside_folders", raw)
+            out[p] = None
+    if len(out) > limit:
+        raise RequestError("too_many_prefixes", f"{limit} at most")
+    return list(out)

@@ -87,3 +87,44 @@ def test_files_change(index):
     assert r.groups.count() == 1
     assert service.search(SearchRequest((Clause("a", "north"),), mode="keyword"), "p").groups.count() == 0
     assert store.active_passages("p").where("display_text LIKE '%needs oil%'").count() == 0
+
+
+def test_renames_keep_ids_and_missing_folders_delete_nothing(spark, tmp_path):
+    folder = tmp_path / "f"
+    folder.mkdir()
+    (folder / "one.txt").write_text("The pump valve needs oil every month.")
+    (folder / "two.txt").write_text("Another text about motors and other things.")
+    store = Store(spark, str(tmp_path / "i"))
+    index_folder(store, "p", str(folder))
+    ids = {r["file_name"]: r["id"] for r in store.read("documents").collect()}
+    (folder / "one.txt").rename(folder / "first.txt")
+    assert index_folder(store, "p", str(folder)) == {"indexed": 1, "unchanged": 1, "deleted": 0, "renamed": 1}
+    live = {r["file_name"]: r["id"] for r in store.read("documents").where("NOT tombstoned").collect()}
+    assert live == {"first.txt": ids["one.txt"], "two.txt": ids["two.txt"]}
+    s = Service(store)
+    assert s.search(SearchRequest((Clause("a", "first", fields=("filename",)),), mode="keyword"), "p").groups.count() == 1
+    assert s.search(SearchRequest((Clause("a", "one", fields=("filename",)),), mode="keyword"), "p").groups.count() == 0
+    store.compact()
+    assert store.vacuum() > 0 and s.search(SearchRequest((Clause("a", "pump valve", match="phrase"),), mode="keyword"), "p").groups.count() == 1
+    (folder / "first.txt").rename(tmp_path / "kept.txt")
+    (folder / "two.txt").rename(tmp_path / "kept2.txt")
+    assert index_folder(store, "p", str(folder)) == {"indexed": 0, "unchanged": 0, "deleted": 0, "unavailable": 2}
+    assert store.read("documents").where("NOT tombstoned AND NOT available").count() == 2 and store.active_passages("p").count() == 2
+    folder.rmdir()
+    assert index_folder(store, "p", str(folder))["unavailable"] == 2
+
+
+def test_stored_index_finds_what_a_scan_finds(spark, index):
+    """Counts of terms, prefixes and phrases from postings against the texts themselves."""
+    from strandex.operators import postings as P
+
+    rows = [(f"r{i}", t, h) for i, (t, h) in enumerate([("a b a b a", "x"), ("the pump valve the pump", "pump"), ("valve pump", None), ("", "pumps"), (None, "a")])]
+    df = spark.createDataFrame(rows, "id string, body string, heading string")
+    postings, lengths = P.index_rows(df, "s", "id", {"body": "body", "heading": "heading"})
+    assert {r["id"]: r["length"] for r in lengths.collect()} == {"r0": 6, "r1": 6, "r2": 2, "r3": 1, "r4": 1}
+    clauses = [Clause("p", "a b a", match="phrase"), Clause("q", "pump", match="prefix"), Clause("t", "pump valve", match="phrase", fields=("body",)), Clause("u", "a")]
+    got = {r["id"]: r["counts"] for r in P.clause_counts(postings, clauses).collect()}
+    assert got == {"r0": {"0|body": 1, "3|body": 3}, "r1": {"1|body": 2, "1|heading": 1, "2|body": 1}, "r2": {"1|body": 1}, "r3": {"1|heading": 1}, "r4": {"3|heading": 1}}
+    assert P.clause_counts(postings.limit(0), clauses).count() == 0
+    plan = index[0].store.postings(["pump"], ["val"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "head" in plan

@@ -112,3 +112,102 @@ def test_job_state_stream(spark, tmp_path):
     run()
     last = {r["document_id"]: (r["state"], r["attempt"], r["epoch"]) for r in out}
     assert last == {1: ("completed", 2, 1), 2: ("queued", 0, 1)}
+
+
+def test_two_writers_and_one_manifest(spark, tmp_path):
+    s = S.Store(spark, str(tmp_path / "index"))
+    row = rows(spark, "acknowledgements", [{"project_id": "p", "signature": "x"}])
+    assert s.files.create(str(tmp_path / "m.json"), "{}") and not s.files.create(str(tmp_path / "m.json"), "[]")
+    assert s.commit({"acknowledgements": row}) == 1
+    one = s.manifest
+    s.manifest = lambda: {"generation": 0, "tables": {}}  # a writer that read before the other's commit
+    with pytest.raises(RequestError):
+        s.commit({"acknowledgements": row})
+    s.manifest = one
+    assert s.generation == 1 and s.read("acknowledgements").count() == 1
+
+
+def test_projects(spark, tmp_path):
+    now = F.lit(T0).cast("timestamp")
+    projects, folders = S.create_project(rows(spark, "projects", []), rows(spark, "project_folders", []), "p", "First", ["/a", "/b"], now)
+    projects, folders = S.create_project(projects, folders, "q", "Second", ["/c"], now)
+    for name, paths, code in (("FIRST", ["/x"], "project_exists"), ("Third", ["/x", "/x/y"], "nested_folder")):
+        with pytest.raises(RequestError) as e:
+            S.create_project(projects, folders, "r", name, paths, now)
+        assert e.value.code == code
+    projects, folders = S.update_project(projects, folders, "p", now, "Renamed", ["/z"])
+    assert {r["path"] for r in folders.collect()} == {"/z", "/c"} and {r["name"] for r in projects.collect()} == {"Renamed", "Second"}
+    store = S.Store(spark, str(tmp_path / "i"))
+    docs = rows(spark, "documents", [{"id": d, "project_id": p, "path_key": d, "tombstoned": False, "active_revision_id": "r"} for d, p in (("a", "p"), ("b", "q"))])
+    passages = rows(spark, "passages", [{"id": f"{d}1", "document_id": d, "revision_id": "r", "project_id": p} for d, p in (("a", "p"), ("b", "q"))])
+    store.commit({"projects": projects, "project_folders": folders, "documents": docs, "passages": passages}, passages)
+    S.remove_project(store, "p")
+    assert [r["project_id"] for r in store.read("projects").collect()] == ["q"] and [r["id"] for r in store.read("passages").collect()] == ["b1"] and store.read("documents").count() == 1
+
+
+def test_pausing_reindexing_and_retrying(spark):
+    now = F.lit(at(100)).cast("timestamp")
+    projects = rows(spark, "projects", [{"project_id": p, "state": "active"} for p in "pq"])
+    jobs = rows(spark, "index_jobs", [{"id": "1", "project_id": "p", "document_id": "a", "kind": "index", "state": "running", "lease_until": T0, "created_utc": T0, "expected_epoch": 1}, {"id": "2", "project_id": "q", "document_id": "z", "kind": "index", "state": "running", "created_utc": T0},
+                                      {"id": "3", "project_id": "p", "document_id": "b", "kind": "refresh", "state": "failed", "created_utc": at(5), "expected_epoch": 1}, {"id": "4", "project_id": "p", "document_id": "b", "kind": "index", "state": "completed", "created_utc": at(1)},
+                                      {"id": "5", "project_id": "p", "document_id": "c", "kind": "index", "state": "failed", "created_utc": at(1)}, {"id": "6", "project_id": "p", "document_id": "c", "kind": "index", "state": "queued", "created_utc": T0},
+                                      {"id": "7", "project_id": "p", "document_id": "d", "kind": "index", "state": "failed", "created_utc": at(1)}])
+    docs = rows(spark, "documents", [{"id": d, "project_id": "p", "path_key": d, "tombstoned": d == "d", "observation_epoch": 1} for d in "abcd"])
+    revisions = rows(spark, "revisions", [{"id": "r1", "project_id": "p", "document_id": "a", "status": "staging"}, {"id": "r2", "project_id": "q", "document_id": "z", "status": "staging"}])
+    paused, back, kept = S.set_paused(projects, jobs, revisions, "p", True)
+    assert {r["id"]: r["state"] for r in back.collect()}["1"] == "queued" and [r["id"] for r in kept.collect()] == ["r2"]
+    assert {r["id"] for r in S.runnable(back, paused).collect()} == {"2"}
+    assert {r["state"] for r in S.set_paused(paused, back, kept, "p", False)[0].collect()} == {"active"}
+    made = [r for r in S.retry_failed(docs, jobs, "p", now).collect() if r["id"] not in "1234567"]
+    assert [(r["document_id"], r["kind"], r["state"]) for r in made] == [("b", "refresh", "queued")]
+    d2, j2 = S.request_reindex(docs, jobs, "p", now)
+    assert {r["id"]: r["observation_epoch"] for r in d2.collect()} == {"a": 2, "b": 2, "c": 2, "d": 1}
+    assert {r["document_id"] for r in j2.where("kind = 'reindex' AND state <> 'failed'").collect()} == {"a", "b", "c"}
+
+
+def test_renaming_excluding_and_hiding(spark):
+    docs = rows(spark, "documents", [{"id": d, "project_id": "p", "path": d, "path_key": d, "file_name": d, "tombstoned": False, "observation_epoch": 1, "active_revision_id": "r"} for d in "abc"])
+    moved = spark.createDataFrame([("p", "a", "n", "b", "n", ".x"), ("p", "c", "c", "c", "c", ".y")], "project_id string, old_key string, path string, path_key string, file_name string, extension string")
+    got = {r["id"]: (r["path_key"], r["observation_epoch"], r["tombstoned"], r["active_revision_id"]) for r in S.rename(docs, moved).collect()}
+    assert got == {"a": ("b", 2, False, "r"), "b": ("b", 2, True, None), "c": ("c", 2, False, "r")}
+    x = S.exclude(S.exclude(rows(spark, "exclusions", []), "p", "/a/f", F.lit(at(1)).cast("timestamp")), "p", "/A/F", F.lit(at(2)).cast("timestamp"))
+    assert [(r["path_key"], r["created_utc"]) for r in x.collect()] == [("/A/F", at(1))] and S.include(x, "p", "/a/f").count() == 0
+    issues = spark.createDataFrame([("p", "s1"), ("p", "s1")], "project_id string, signature string")
+    h = S.hide_issues(rows(spark, "acknowledgements", []), issues, F.lit(T0).cast("timestamp"))
+    assert h.count() == 1 and S.restore_issues(h, issues).count() == 0
+
+
+def test_refreshed_vectors_are_whole_or_refused(spark, tmp_path):
+    store = S.Store(spark, str(tmp_path / "i"))
+    docs = rows(spark, "documents", [{"id": "a", "project_id": "p", "path_key": "a", "tombstoned": False, "active_revision_id": "r"}])
+    passages = rows(spark, "passages", [{"id": f"a{i}", "document_id": "a", "revision_id": "r", "project_id": "p", "semantic_eligible": i < 2} for i in range(3)])
+    store.commit({"documents": docs, "passages": passages}, passages)
+    v = rows(spark, "embeddings", [{"passage_id": f"a{i}", "document_id": "a", "revision_id": "r", "project_id": "p", "vector": [1.0, 0.0]} for i in range(2)])
+    for bad in (v.limit(1), v.unionByName(v), v.withColumn("revision_id", F.lit("old"))):
+        with pytest.raises(RequestError):
+            S.commit_refresh(store, bad, "now", 2)
+    assert S.commit_refresh(store, v, "now", 2) == 2 and store.read("embeddings").where("policy_key = 'now'").count() == 2
+
+
+def test_prefixes_over_folders():
+    assert S.authorised_prefixes(["sub/x", "/b/y"], ["/a", "/b"]) == ["/a/sub/x", "/b/sub/x", "/b/y"]
+    for bad in (["/c"], ["../b"], ["x/../../y"]):
+        with pytest.raises(RequestError):
+            S.authorised_prefixes(bad, ["/a", "/b"])
+
+
+def test_batches_by_length_and_memory():
+    from strandex.operators.vectors import in_batches
+
+    sizes = []
+
+    def embed(texts):
+        if len(texts) > 3:
+            raise MemoryError
+        sizes.append([len(t) for t in texts])
+        return [len(t) for t in texts]
+
+    texts = ["x" * n for n in (5, 1, 9, 3, 7, 2, 8)]
+    assert in_batches(texts, embed, 16) == [5, 1, 9, 3, 7, 2, 8] and all(s == sorted(s, reverse=True) for s in sizes)
+    with pytest.raises(MemoryError):
+        in_batches(["a"], lambda t: (_ for _ in ()).throw(MemoryError()), 4)
