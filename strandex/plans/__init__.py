@@ -6,9 +6,9 @@ from .common import Query, Registry
 
 
 def registries() -> list[Registry]:
-    from . import evidence, relational, search, state, streams
+    from . import evidence, kept, relational, search, state, streams
 
-    return [search.R_, relational.R, evidence.R, state.R, streams.R]
+    return [search.R_, relational.R, evidence.R, state.R, streams.R, kept.R]
 
 
 def queries() -> dict[str, Query]:

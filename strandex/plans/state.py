@@ -187,3 +187,46 @@ def job_states(spark: SparkSession, d: str) -> DataFrame:
         return pd.DataFrame({"document_id": [part["document_id"].iloc[0]], "state": [state], "attempt": [attempt], "epoch": [epoch]})
 
     return e.groupBy("document_id").applyInPandas(run, "document_id bigint, state string, attempt bigint, epoch bigint")
+
+
+_THIRD = "k AS (SELECT job_id, job_id // 3 AS document_id, ts, state FROM j)"
+
+
+@R.add(f"WITH {_JOBS} SELECT job_id, CASE WHEN state = 'running' AND document_id % 2 = 0 THEN 'queued' ELSE state END AS state FROM j")
+def paused_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs after one of two projects was paused: its running ones are queued again."""
+    j = _project_jobs(spark, d, F.col("document_id"))
+    projects = spark.createDataFrame([("p", "active"), ("q", "active")], "project_id string, state string")
+    _, back, _ = store.set_paused(projects, j, spark.createDataFrame([], store.SCHEMAS["revisions"]), "p", True)
+    return back.select(F.col("id").alias("job_id"), "state")
+
+
+def _project_jobs(spark: SparkSession, d: str, document) -> DataFrame:
+    return jobs(spark, d).select(F.col("job_id").alias("id"), F.when(F.col("document_id") % 2 == 0, "p").otherwise("q").alias("project_id"), document.alias("document_id"), F.lit("index").alias("kind"), "state", F.lit(1).cast("long").alias("expected_epoch"), F.lit(0).alias("attempt"), F.col("ts").cast("timestamp").alias("created_utc"),
+                                 F.col("ts").cast("timestamp").alias("not_before"), F.lit(None).cast("timestamp").alias("lease_until"))
+
+
+@R.add(f"WITH {_JOBS}, {_THIRD} SELECT document_id, 'index' AS kind FROM k GROUP BY 1 HAVING count(*) FILTER (state NOT IN ('completed', 'failed')) = 0 AND arg_max(state, (ts, job_id)) = 'failed'")
+def retried_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs made to try again the documents, of three jobs each, whose last one failed."""
+    j = _project_jobs(spark, d, F.floor(F.col("job_id") / 3).cast("bigint")).withColumn("project_id", F.lit("p")).withColumn("id", F.format_string("%012d", "id"))
+    docs = j.select(F.col("document_id").alias("id")).distinct().withColumns({"project_id": F.lit("p"), "tombstoned": F.lit(False), "observation_epoch": F.lit(1).cast("long")})
+    got = store.retry_failed(docs, j, "p", F.lit("2025-01-01").cast("timestamp"))
+    return got.where("created_utc = TIMESTAMP '2025-01-01'").select("document_id", "kind")
+
+
+@R.add(f"WITH {_FILES} SELECT id, CASE WHEN length(id) % 3 = 0 THEN id || '-new' ELSE id END AS path_key, CAST(CASE WHEN length(id) % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS observation_epoch FROM a")
+def renamed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents after a third of the files got other names: ids stay."""
+    known, _ = _known(spark, d)
+    new = F.concat("path_key", F.lit("-new"))
+    moved = known.where("length(id) % 3 = 0").select("project_id", F.col("path_key").alias("old_key"), new.alias("path"), new.alias("path_key"), "file_name", "extension")
+    return store.rename(known, moved).select("id", "path_key", "observation_epoch")
+
+
+@R.add("""WITH l AS (SELECT user_id, event_type, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS u FROM events), d AS (SELECT user_id, sum(CASE WHEN event_type <> 'view' THEN epoch_us(u) - epoch_us(ts) END) AS s FROM l GROUP BY 1 HAVING count(*) FILTER (event_type = 'click') > 0)
+SELECT user_id % 5 AS project, count(*) AS jobs, round(avg(coalesce(s, 0)) / 1e6, 3) AS average_seconds FROM d GROUP BY 1""")
+def processing_times(spark: SparkSession, d: str) -> DataFrame:
+    """Mean time that jobs were worked on, without their waiting, for each project."""
+    e = table(spark, d, "events").withColumn("project", F.col("user_id") % 5)
+    return I.processing_times(e, ["project"], "user_id", "event_type", "ts", ("view",), "click").withColumn("average_seconds", F.round("average_seconds", 3))
