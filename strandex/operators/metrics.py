@@ -60,6 +60,25 @@ def evidence_coverage(pages: DataFrame, gold: str, predicted: str) -> DataFrame:
     return pages.withColumn("coverage", run(gold, predicted))
 
 
+def over_coverage(pages: DataFrame, by: Sequence[str], gold: str, predicted: str, rank: str, k: int) -> DataFrame:
+    """(by, predicted_area, shared_area, precision): of the predicted boxes on the k best pages of each group, how much of their area lies in judged
+    boxes. Boxes of one page count once where they lie over each other; pages without predictions have no area; without any the share is null."""
+
+    @F.pandas_udf("predicted double, shared double")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for gold_boxes, made in parts:
+            rows = []
+            for g, p in zip(gold_boxes, made):
+                p = [] if p is None else [tuple(b) for b in p]
+                area, shared, _, _ = coverage_of_boxes(p, [] if g is None else list(g))
+                rows.append((area, shared))
+            yield pd.DataFrame(rows, columns=["predicted", "shared"])
+
+    each = pages.where(F.col(rank) <= k).select(*by, run(gold, predicted).alias("a"))
+    out = each.groupBy(*by).agg(F.sum("a.predicted").alias("predicted_area"), F.sum("a.shared").alias("shared_area"))
+    return out.withColumn("precision", F.col("shared_area") / F.nullif(F.col("predicted_area"), F.lit(0.0)))
+
+
 def character_error_rate(reference: Column, text: Column) -> Column:
     """Edits between two texts over the reference's length; 0 for two empty ones, 1 where only the reference is empty."""
     n = F.length(reference)

@@ -209,7 +209,7 @@ class Service:
         """Contents of a document in the order of its tree, with depth, chain of names and number of descendants."""
         at = self.store.manifest()
         n = self.store.read("content_nodes", at).where(F.col("document_id") == document)
-        n = n.join(self.store.read("documents", at).select(F.col("active_revision_id").alias("revision_id")), "revision_id", "left_semi")
+        n = n.join(self.store.read("documents", at).where(F.col("id") == document).select(F.col("active_revision_id").alias("revision_id")), "revision_id", "left_semi")
         t = trees.expand(n, "id", "parent_id", "name", "ordinal")
         out = t.join(trees.descendants(t), "id", "left").join(n.select("id", "mime_type", "relationship", "status"), "id").withColumn("descendants", F.coalesce("descendants", F.lit(0)))
         return I.offset_page(out.where("depth > 0"), [F.col("sort_path")], offset, limit)
@@ -219,8 +219,33 @@ class Service:
         at = self.store.manifest()
         node = self.store.read("content_nodes", at).where(F.col("id") == content).select("document_id").distinct()
         n = self.store.read("content_nodes", at).join(node, "document_id", "left_semi")
-        chain = trees.expand(n, "id", "parent_id", "name", "ordinal").where(F.col("id") == content).select("chain")
-        return self.store.read("documents", at).where("NOT tombstoned").join(node, F.col("id") == F.col("document_id")).select("path").join(chain)
+        chain = trees.expand(n, "id", "parent_id", "name", "ordinal").where(F.col("id") == content).join(n.select("id", "document_id"), "id").select("document_id", "chain")
+        return self.store.read("documents", at).where("NOT tombstoned").select(F.col("id").alias("document_id"), "path").join(chain, "document_id").select("path", "chain")
+
+    def materialize_content(self, content: str) -> bytes:
+        """The bytes of a content: its file is opened and the chain of attachments walked again. A file that is not the one indexed is refused."""
+        import hashlib
+
+        from .sources.extract import materialise, read_files
+
+        at = self.store.manifest()
+        nodes = self.store.read("content_nodes", at)
+        document = nodes.where(F.col("id") == content).select("document_id").first()
+        if document is None:
+            raise RequestError("unknown_content", content)
+        doc = self.store.read("documents", at).where((F.col("id") == document[0]) & ~F.col("tombstoned")).select("path", "file_name", "sha256", "active_revision_id").first()
+        if doc is None:
+            raise RequestError("stale_content", content)
+        tree = trees.expand(nodes.where((F.col("document_id") == document[0]) & (F.col("revision_id") == doc["active_revision_id"])), "id", "parent_id", "name", "ordinal").where(F.col("id") == content).select("sort_path").first()
+        if tree is None:
+            raise RequestError("stale_content", content)
+        data = read_files(self.store.spark, doc["path"]).select("content").first()[0]
+        if hashlib.sha256(data).hexdigest() != doc["sha256"]:
+            raise RequestError("changed_file", doc["path"])
+        found = materialise(bytes(data), doc["file_name"], [int(k) for k in tree["sort_path"].split(".")[1:]])
+        if found is None:
+            raise RequestError("unknown_content", content)
+        return found
 
     def list_projects(self) -> DataFrame:
         at = self.store.manifest()

@@ -322,3 +322,12 @@ def test_cursors():
             I.decode_cursor(c, *bad)
     with pytest.raises(C.RequestError):
         I.decode_cursor("%%%", {}, 1)
+
+
+def test_over_coverage(spark):
+    from strandex.operators import metrics as M
+
+    rows = [("q", 1, [[0.0, 0.0, 1.0, 1.0]], [[0.0, 0.0, 2.0, 1.0], [0.0, 0.0, 2.0, 1.0]]), ("q", 2, None, [[0.0, 0.0, 1.0, 2.0]]), ("q", 9, [[0.0, 0.0, 9.0, 9.0]], [[0.0, 0.0, 9.0, 9.0]]), ("z", 1, [[0.0, 0.0, 1.0, 1.0]], None)]
+    df = spark.createDataFrame(rows, "q string, r int, gold array<array<double>>, made array<array<double>>")
+    got = {r["q"]: (r["predicted_area"], r["shared_area"], r["precision"]) for r in M.over_coverage(df, ["q"], "gold", "made", "r", 5).collect()}
+    assert got == {"q": (4.0, 1.0, 0.25), "z": (0.0, 0.0, None)}

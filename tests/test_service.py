@@ -75,6 +75,38 @@ def test_reading(index):
     assert service.document_info(pack["id"]).first()["passages"] == 1
 
 
+def test_sessions_shapes_and_bytes(index):
+    from strandex.sessions import SESSION_SECONDS, Sessions, VectorCache, respond
+
+    service, folder, _ = index
+    r = service.search(SearchRequest((Clause("a", "pump"),), mode="keyword"), "p")
+    now = [0.0]
+    s = Sessions(service, 2, 1, lambda: now[0])
+    first, cursor = s.start(r)
+    seen = [x["position"] for x in first.collect()]
+    while cursor:
+        held = cursor
+        page, cursor = s.next(held)
+        got = page.collect()
+        assert len(got) <= 2 and len({x["document_id"] for x in got}) == len(got)
+        seen += [x["position"] for x in got]
+    assert sorted(seen) == [x["position"] for x in r.groups.orderBy("position").collect()] and s.previews(held).count() > 0
+    now[0] = SESSION_SECONDS + 1.0
+    for bad in (held, "x.1"):
+        with pytest.raises(RequestError):
+            s.next(bad)
+    compact, full = ({x["position"]: json.loads(x["response"]) for x in respond(r, d).collect()} for d in ("compact", "full"))
+    assert set(compact) == set(full) and set(compact[1]["previews"][0]) == {"rank", "excerpt"} and {"start", "length"} <= set(full[1]["previews"][0])
+    pack = next(d for d in service.list_documents("p", limit=9).collect() if d["file_name"] == "pack.zip")
+    note = service.list_attachments(pack["id"]).first()["id"]
+    assert service.materialize_content(note) == b"A note about the pump valve."
+    with pytest.raises(RequestError):
+        service.materialize_content("nothing")
+    cache = VectorCache(service, 1)
+    v = cache.vectors("p", "hash-32")
+    assert v.count() > 0 and cache.vectors("p", "hash-32") is v and cache.vectors("p", "other").count() == 0 and len(cache.held) == 1
+
+
 def test_files_change(index):
     service, folder, embed = index
     store = service.store
