@@ -14,6 +14,7 @@ import io
 import json
 import posixpath
 import re
+import struct
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -29,7 +30,9 @@ from pyspark.sql import types as T
 
 from ..functions.text import for_display, for_search, spreadsheet_column
 from ..operators.sections import Block
+from .compound import outlook_mail
 from .formats import decode, resolve
+from .pdf import pdf_pages
 
 MAX_DEPTH, MAX_ATTACHMENTS, MAX_ONE, MAX_TOTAL = 5, 1000, 250 << 20, 1 << 30
 SPANS = "table_spans: merged cells retained; cell alignment is uncertain."
@@ -912,6 +915,17 @@ def archive_members(data: bytes, name: str, extension: str) -> Iterator[tuple[st
         raise ExtractionError("unsupported_format", f"{extension} archives cannot be opened here")
 
 
+def pdf_blocks(data: bytes) -> list[Block]:
+    """The paragraphs of a PDF file's pages. A page without text, as scanned ones are, is a block without any, with a warning."""
+    out = []
+    try:
+        for number, boxes in pdf_pages(data):
+            out += [Block(b.text, kind="page", page=number, region=(b.x, b.y, b.w, b.h), key=f"page:{number}") for b in boxes] or [Block("", kind="page", page=number, warning="no_text", key=f"page:{number}")]
+    except PermissionError as e:
+        raise ExtractionError("encrypted_document", str(e)) from e
+    return out
+
+
 class Extractor:
     """Opens one file and all it holds. ``recognise`` reads images where a recogniser is at hand: bytes → blocks."""
 
@@ -965,8 +979,12 @@ class Extractor:
                 children = iter([(n, d, None, "embedded") for n, d in epub_node(data, node)])
             elif kind in ("eml", "mhtml"):
                 children = mail_node(data, node, kind == "mhtml")
+            elif kind == "msg":
+                children = mail_node(outlook_mail(data), node)
             elif kind == "archive":
                 children = self._members(data, name, extension, node, component)
+            elif kind == "pdf":
+                node.blocks = pdf_blocks(data)
             elif kind == "image" and self.recognise:
                 node.blocks = self.recognise(data)
             else:
@@ -984,7 +1002,7 @@ class Extractor:
                 node.children.append(self._open(body, n, media_type, relation, depth + 1, (*above, mark), f"{component}/{n}"))
         except ExtractionError as e:
             return self._fail(e.code, str(e), component, node)
-        except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, ValueError, KeyError, ET.ParseError, RecursionError) as e:
+        except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, ValueError, KeyError, IndexError, TypeError, struct.error, ET.ParseError, RecursionError) as e:
             return self._fail("malformed_document", f"{type(e).__name__}: {e}"[:300], component, node)
         return node
 
@@ -1007,6 +1025,8 @@ def materialise(data: bytes, name: str, ordinals: list[int]) -> bytes | None:
         node = Node(name)
         if kind in ("eml", "mhtml"):
             inside = [(n, d) for n, d, _, _ in mail_node(data, node, kind == "mhtml")]
+        elif kind == "msg":
+            inside = [(n, d) for n, d, _, _ in mail_node(outlook_mail(data), node)]
         elif kind == "archive":
             inside = [(n, d) for n, d, e in archive_members(data, name, extension) if not e]
         elif kind in ("word", "spreadsheet", "presentation"):

@@ -180,3 +180,119 @@ def test_files_as_frame(spark, tmp_path):
     assert got["z.bin"]["errors"][0]["code"] == "unsupported_format"
     kinds = {r["path"].rsplit("/", 1)[-1]: r["k"] for r in X.read_files(spark, str(tmp_path)).select("path", formats.kind_column(*[__import__("pyspark.sql.functions", fromlist=["col"]).col(c) for c in ("path", "content")]).alias("k")).collect()}
     assert kinds == {"a.csv": "delimited", "m.eml": "eml", "z.bin": None}
+
+
+def compound(tree):
+    """A compound file of a tree of storages and streams, all small; sectors of 512 and 64 bytes."""
+    import struct
+
+    entries, streams = [], []
+
+    def add(name, value):
+        at = len(entries)
+        entries.append(None)
+        children = [add(k, v) for k, v in value.items()] if isinstance(value, dict) else []
+        for a, b in zip(children, children[1:]):
+            entries[a]["right"] = b
+        entries[at] = {"name": name, "kind": 5 if at == 0 else 1 if isinstance(value, dict) else 2, "right": 0xFFFFFFFF, "child": children[0] if children else 0xFFFFFFFF, "start": 0xFFFFFFFE, "size": 0}
+        if not isinstance(value, dict):
+            start = sum(-(-len(x) // 64) for x in streams)
+            entries[at] |= {"start": start if value else 0xFFFFFFFE, "size": len(value)}
+            streams.append(value)
+        return at
+
+    add("Root Entry", tree)
+    mini = b"".join(x + bytes(-len(x) % 64) for x in streams)
+    links = [n for x in streams for n in [*range(1, -(-len(x) // 64)), 0xFFFFFFFE][: -(-len(x) // 64)]]
+    base, table = 0, []
+    for x in streams:
+        k = -(-len(x) // 64)
+        table += [base + i + 1 if i + 1 < k else 0xFFFFFFFE for i in range(k)]
+        base += k
+    assert len(links) == len(table)
+    sector = lambda b: b + bytes(-len(b) % 512)
+    mini_table = sector(struct.pack(f"<{len(table)}I", *table) + b"\xff" * (-len(table) * 4 % 512))
+    mini = sector(mini)
+    entries[0] |= {"start": 0, "size": len(mini)}
+    raw = b""
+    n_mini, n_table = len(mini) // 512, len(mini_table) // 512
+    entries[0]["start"] = 0
+    for e in entries:
+        name = e["name"].encode("utf-16-le") + b"\0\0"
+        raw += name + bytes(64 - len(name)) + struct.pack("<HBBIII", len(name), e["kind"], 1, 0xFFFFFFFF, e["right"], e["child"]) + bytes(36) + struct.pack("<IQ", e["start"], e["size"])
+    raw = sector(raw)
+    parts = [mini, mini_table, raw]
+    fat, at = [], 0
+    for part in parts:
+        k = len(part) // 512
+        fat += [at + i + 1 if i + 1 < k else 0xFFFFFFFE for i in range(k)]
+        at += k
+    fat += [0xFFFFFFFD] + [0xFFFFFFFF] * (127 - len(fat))
+    assert len(fat) == 128
+    head = bytes.fromhex("d0cf11e0a1b11ae1") + bytes(16) + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + bytes(6) + struct.pack("<IIIIIIIIII", 0, 1, n_mini + n_table, 0, 4096, n_mini, n_table, 0xFFFFFFFE, 0, at) + b"\xff" * 432
+    return head[:512] + b"".join(parts) + struct.pack("<128I", *fat)
+
+
+def outlook(subject, body, extra=None, head=32):
+    import struct
+
+    wide = lambda t: t.encode("utf-16-le")
+    when = struct.pack("<IIQ", 0x00390040, 0, 133_485_408_000_000_000)
+    return {"__substg1.0_0037001F": wide(subject), "__substg1.0_1000001F": wide(body), "__substg1.0_0C1A001F": wide("Ann Lee"), "__substg1.0_5D01001F": wide("ann@x.example"), "__properties_version1.0": bytes(head) + when,
+            "__recip_version1.0_#00000000": {"__substg1.0_3001001F": wide("Bob Ray"), "__substg1.0_39FE001F": wide("bob@y.example"), "__properties_version1.0": bytes(8) + struct.pack("<IIQ", 0x0C150003, 0, 1)}} | (extra or {})
+
+
+def test_outlook_messages():
+    wide = lambda t: t.encode("utf-16-le")
+    inner = outlook("Inner", "The inner text.", head=24)
+    tree = outlook("Grüße", "The pump leaks.\r\nPlease come.", {
+        "__attach_version1.0_#00000000": {"__substg1.0_3707001F": wide("note.txt"), "__substg1.0_37010102": b"A note.", "__substg1.0_370E001F": wide("text/plain")},
+        "__attach_version1.0_#00000001": {"__substg1.0_3001001F": wide("Forwarded"), "__substg1.0_3701000D": inner}})
+    data = compound(tree)
+    node = X.Extractor().file(data, "mail.msg")
+    assert node.status == "ready" and [b.text for b in node.blocks] == ["From: Ann Lee <ann@x.example>\nTo: Bob Ray <bob@y.example>\nCc: \nDate: 2024-01-01T00:00:00.0000000+00:00\nSubject: Grüße", "The pump leaks.\nPlease come.\n"]
+    assert [(c.name, c.relationship, c.status) for c in node.children] == [("note.txt", "email-attachment", "ready"), ("Forwarded.eml", "email-attachment", "ready")]
+    assert node.children[1].blocks[1].text.strip() == "The inner text."
+    assert X.materialise(data, "mail.msg", [0]).strip() == b"A note."
+    for bad in (data[:700], data[:8] + bytes(600), compound({"Other": b"x"})):
+        e = X.Extractor()
+        assert e.file(bad, "mail.msg").status == "error" and e.problems[0].code == "malformed_document"
+
+
+def pdf(contents, font=b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /FirstChar 32 /Widths [250] >>", extra=(), compress=True, trailer=b""):
+    import zlib
+
+    kids = b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(len(contents)))
+    parts = [b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj", b"2 0 obj << /Type /Pages /Count %d /MediaBox [0 0 600 800] /Resources << /Font << /F1 3 0 R >> >> /Kids [%s] >> endobj" % (len(contents), kids), b"3 0 obj " + font + b" endobj", *extra]
+    for i, c in enumerate(contents):
+        body = zlib.compress(c) if compress else c
+        parts.append(b"%d 0 obj << /Type /Page /Parent 2 0 R /Contents %d 0 R >> endobj" % (10 + 2 * i, 11 + 2 * i))
+        parts.append(b"%d 0 obj << /Length %d %s>> stream\n" % (11 + 2 * i, len(body), b"/Filter /FlateDecode " if compress else b"") + body + b"\nendstream endobj")
+    return b"%PDF-1.4\n" + b"\n".join(parts) + b"\ntrailer << /Root 1 0 R " + trailer + b">>\n%%EOF"
+
+
+def test_pdf_text():
+    one = b"BT /F1 12 Tf 14 TL 50 700 Td (The pump \\(new\\) leaks) Tj T* [(ev) -50 (ery) -300 (month.)] TJ ET BT /F1 12 Tf 50 400 Td (Second part.) Tj ET"
+    node = X.Extractor().file(pdf([one, b"q 1 0 0 1 0 0 cm Q"]), "a.pdf")
+    assert node.status == "ready" and [(b.page, b.text, b.warning) for b in node.blocks] == [(1, "The pump (new) leaks\nevery month.", None), (1, "Second part.", None), (2, "", "no_text")]
+    x, y, w, h = node.blocks[0].region
+    assert abs(x - 50 / 600) < 0.01 and 0.09 < y < 0.13 and w > 0.1 and h > 0.02
+
+
+def test_pdf_fonts_forms_and_columns():
+    names = b"1 beginbfrange <0001> <0003> <0041> endbfrange 1 beginbfchar <0005> <00FC> endbfchar"
+    font = b"<< /Type /Font /Subtype /Type0 /DescendantFonts [4 0 R] /ToUnicode 5 0 R >>"
+    extra = [b"4 0 obj << /Type /Font /DW 600 /W [1 [500 500]] >> endobj", b"5 0 obj << /Length %d >> stream\n" % len(names) + names + b"\nendstream endobj"]
+    node = X.Extractor().file(pdf([b"BT /F1 10 Tf 1 0 0 1 50 700 Tm <00010002000300050001> Tj ET"], font, extra, False), "a.pdf")
+    assert [b.text for b in node.blocks] == ["ABCüA"]
+    left = b" ".join(b"BT /F1 10 Tf 40 %d Td (left %d goes on and on) Tj ET" % (700 - 14 * i, i) for i in range(6))
+    right = b" ".join(b"BT /F1 10 Tf 340 %d Td (right %d goes on and on) Tj ET" % (700 - 14 * i, i) for i in range(6))
+    text = "\n".join(b.text for b in X.Extractor().file(pdf([left + b" " + right]), "a.pdf").blocks)
+    assert text.index("left 5") < text.index("right 0")
+
+
+@pytest.mark.parametrize("data, code", [(pdf([b""], trailer=b"/Encrypt 9 0 R "), "encrypted_document"), (b"%PDF-1.4 nothing", None), (b"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 1 0 R >> endobj", None), (pdf([b"BT /F1 (x Tj [ << "]), None), (pdf([b"BT 1 Tf (a) TJ 1 2 Tm Q Q ET"]), None)])
+def test_pdf_faults(data, code):
+    e = X.Extractor()
+    node = e.file(data, "a.pdf")
+    assert [p.code for p in e.problems] == ([code] if code else []) and node.status == ("error" if code else "ready")
