@@ -18,8 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that all executors share: the cluster's checkpoint folder, or a local one in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandex-")
+    """A folder that all executors share: the cluster's checkpoint folder, or a local one where driver and executors are one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    return named or tempfile.mkdtemp(prefix="strandex-")
 
 
 class Registry:
