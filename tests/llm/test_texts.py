@@ -414,6 +414,23 @@ def test_confidence_counts(spark):
     assert lex.judge("scnza")[0] and lex.judge("scnza", doubt=1)[0] and not lex.judge("scnza", doubt=-1)[0]
 
 
+def test_skeletons_leave_no_form_out():
+    """Every confusion keeps the skeleton, and forms found with its help are those found without."""
+    for piece, rights in scanning._RIGHTS.items():
+        assert all(piece.lower().translate(scanning._SKELETON) == r.lower().translate(scanning._SKELETON) for r in rights), piece
+    rng = random.Random(14)
+    words = ["document", "maintenance", "warehouse", "Lager", "quantité", "comissão", "libro", "guide", "mission", "number"]
+    lex = scanning.Lexicon({w: rng.choice([5, 40, 900]) for w in words}, 3)
+    for _ in range(3000):
+        w = rng.choice(words)
+        for _ in range(rng.randrange(3)):
+            i = rng.randrange(len(w))
+            right = next((p for p, rs in rng.sample(list(scanning._RIGHTS.items()), len(scanning._RIGHTS)) for r in rs if w[i : i + len(r)] == r), None)
+            w = w[:i] + (right or rng.choice("abcxyz")) + w[i + 1 :]
+        for doubt in (-1, 0, 1):
+            assert lex._nearest(w, doubt=doubt) == lex._nearest(w, None, [], doubt)
+
+
 def test_unknown_characters_do_not_multiply():
     lex = scanning.Lexicon({"document": 900, "the": 5000}, 3)
     assert lex.judge("do�ument") == (True, "document") and lex.judge("do�um�nt") == (True, "document")
