@@ -331,3 +331,35 @@ def test_over_coverage(spark):
     df = spark.createDataFrame(rows, "q string, r int, gold array<array<double>>, made array<array<double>>")
     got = {r["q"]: (r["predicted_area"], r["shared_area"], r["precision"]) for r in M.over_coverage(df, ["q"], "gold", "made", "r", 5).collect()}
     assert got == {"q": (4.0, 1.0, 0.25), "z": (0.0, 0.0, None)}
+
+
+# Keyword ranking
+
+
+def test_many_queries_shuffle_no_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from strandex.operators import ranking as R
+
+    made = random.Random(5)
+    texts = {i: [made.choice("abcdefgh") for _ in range(made.randrange(9))] for i in range(60)} | {60: None}
+    asked = {q: made.sample("abcdefghz", 3) for q in range(7)}
+    docs = spark.createDataFrame([*texts.items(), (None, ["a"])], "id bigint, tokens array<string>").repartition(3)
+    terms = spark.createDataFrame([(q, w) for q, ws in asked.items() for w in [*ws, ws[0]]], "query_id bigint, term string")
+    rows = [*(t or [] for t in texts.values()), ["a"]]
+    average = sum(map(len, rows)) / len(rows)
+
+    def score(ws, t):
+        return sum(R.idf(len(rows), sum(w in r for r in rows)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / average)) for w in ws)
+
+    for block in (4096, 3):
+        found = R.bm25_many(docs, "id", "tokens", terms, 5, 5, block)
+        got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in found.collect()}
+        want = {}
+        for q, ws in asked.items():
+            best = sorted((-round(score(ws, t), 5), i) for i, t in texts.items() if t and set(ws) & set(t))[:5]
+            want |= {(q, n): (i, -s) for n, (s, i) in enumerate(best, 1)}
+        assert got == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan.split("MapInArrow")[0]  # no pair of query and row is made in a frame
+    assert R.bm25_many(docs, "id", "tokens", terms.where(F.lit(False)), 5, 5).count() == 0
