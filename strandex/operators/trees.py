@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +38,24 @@ def descendants(expanded: DataFrame) -> DataFrame:
     return expanded.select(F.explode(F.slice("path", 1, F.size("path") - 1)).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("descendants"))
 
 
-def recursive_ancestors(spark, nodes: DataFrame, id_col: str, parent_col: str, start: DataFrame) -> DataFrame:
-    """(id, ancestor, steps) of the nodes of ``start`` by a recursive query. Spark's limits of recursion apply: by default a depth of 100 and a million
-    rows a level; a query over more raises an error, it never leaves rows out."""
-    return spark.sql(f"""WITH RECURSIVE up(id, ancestor, steps) AS (
-SELECT {id_col}, {parent_col}, 1 FROM {{n}} WHERE {id_col} IN (SELECT {id_col} FROM {{s}}) AND {parent_col} IS NOT NULL
-UNION ALL SELECT up.id, n.{parent_col}, up.steps + 1 FROM up JOIN {{n}} n ON n.{id_col} = up.ancestor WHERE n.{parent_col} IS NOT NULL)
-SELECT * FROM up""", n=nodes, s=start)
+def recursive_ancestors(nodes: DataFrame, id_col: str, parent_col: str, start: DataFrame | None = None) -> DataFrame:
+    """(id, ancestor, steps) of all nodes or of those of ``start``, one row for each way up, whatever the depth and the number of rows.
+
+    Ways are found on the nodes that have children only, by doubling: those of exactly ``reach`` steps go on over all ways known, until there are
+    none. Leaves meet them in one join. A cycle among the nodes, over which there is no last way, raises a ValueError."""
+    edges = nodes.where(F.col(parent_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(parent_col).alias("ancestor"))
+    lowest = edges if start is None else edges.join(start.select(F.col(id_col).alias("id")), "id", "left_semi")
+    inner = edges.join(edges.select(F.col("ancestor").alias("id")).distinct(), "id", "left_semi")
+    ways, reach = [inner.withColumn("steps", F.lit(1)).persist(StorageLevel.MEMORY_AND_DISK)], 1
+    while True:
+        found = ways[-1].agg(F.count_if(F.col("steps") == reach).alias("far"), F.count_if(F.col("id") == F.col("ancestor")).alias("round")).first()
+        if found["round"]:
+            raise ValueError("the nodes form a cycle")
+        known = reduce(DataFrame.unionByName, ways).select(F.col("id").alias("_via"), F.col("ancestor").alias("_top"), "steps")
+        if not found["far"]:
+            break
+        far = ways[-1].where(F.col("steps") == reach).select("id", F.col("ancestor").alias("_via"))
+        ways.append(far.join(known, "_via").select("id", F.col("_top").alias("ancestor"), (F.col("steps") + reach).alias("steps")).persist(StorageLevel.MEMORY_AND_DISK))
+        reach *= 2
+    further = lowest.withColumnRenamed("ancestor", "_via").join(known, "_via").select("id", F.col("_top").alias("ancestor"), (F.col("steps") + 1).alias("steps"))
+    return lowest.withColumn("steps", F.lit(1)).unionByName(further)

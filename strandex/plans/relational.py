@@ -277,8 +277,7 @@ def preorder_page(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(f"WITH RECURSIVE {_NODES}, up AS (SELECT id, parent AS ancestor, 1 AS steps FROM nodes WHERE parent IS NOT NULL UNION ALL SELECT up.id, n.parent, steps + 1 FROM up JOIN nodes n ON n.id = up.ancestor WHERE n.parent IS NOT NULL) SELECT id, ancestor, CAST(steps AS BIGINT) AS steps FROM up")
 def recursive_ancestors(spark: SparkSession, d: str) -> DataFrame:
-    n = _nodes(spark, d)
-    return trees.recursive_ancestors(spark, n, "id", "parent", n).select("id", "ancestor", F.col("steps").cast("bigint").alias("steps"))
+    return trees.recursive_ancestors(_nodes(spark, d), "id", "parent").select("id", "ancestor", F.col("steps").cast("bigint").alias("steps"))
 
 
 @R.add(f"WITH {_NODES} SELECT id, row_number() OVER (PARTITION BY parent, name ORDER BY ord) - 1 AS occurrence FROM nodes")

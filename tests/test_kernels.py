@@ -363,3 +363,32 @@ def test_many_queries_shuffle_no_pairs(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan.split("MapInArrow")[0]  # no pair of query and row is made in a frame
     assert R.bm25_many(docs, "id", "tokens", terms.where(F.lit(False)), 5, 5).count() == 0
+
+
+# Trees
+
+
+def test_ancestors_of_more_rows_than_a_recursion_may_have(spark):
+    from strandex.operators import trees
+
+    up = {i: i - 1 for i in range(1, 7)} | {i: 6 for i in range(100, 160)} | {200: None, 201: 300}
+    rows = [*((str(i), None if p is None else str(p)) for i, p in up.items()), ("4", "200"), (None, "3")]
+    nodes = spark.createDataFrame(rows, "id string, parent string")
+
+    def above(i, steps=1):
+        for n, p in rows:
+            if n == i and p is not None:
+                yield p, steps
+                yield from above(p, steps + 1)
+
+    want = sorted((i or "", a, s) for i in {i for i, _ in rows} for a, s in above(i))
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "50")
+    try:
+        got = trees.recursive_ancestors(nodes, "id", "parent").collect()
+        some = trees.recursive_ancestors(nodes, "id", "parent", spark.createDataFrame([("101",), ("2",)], "id string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert sorted((r["id"] or "", r["ancestor"], r["steps"]) for r in got) == want
+    assert sorted((r["id"], r["ancestor"], r["steps"]) for r in some) == [w for w in want if w[0] in ("101", "2")]
+    with pytest.raises(ValueError, match="cycle"):
+        trees.recursive_ancestors(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "a")], "id string, parent string"), "id", "parent")
