@@ -280,9 +280,8 @@ class Lexicon:
     def judge(self, token: str, rare: dict[str, str] | None = None, before: str = "", after: str = "", doubt: int = 0) -> tuple[bool, str]:
         """Whether a token has a wrong character, and the token put right as far as its right form is known.
 
-        ``rare`` holds the right forms of words below the lexicon (:func:`rare_words`); the tokens beside this one tell whether a number is expected; ``doubt`` is that
+        ``rare`` holds the right forms of words below the lexicon (:func:`rare_words`), which are known for whole tokens of a page only; the tokens beside this one tell whether a number is expected; ``doubt`` is that
         of its line's confidence."""
-        rare = rare or self.rare
         if rare:
             core = token.strip(_OUTER)
             if core in rare:
@@ -463,8 +462,12 @@ def read_page(units: list[Unit], lexicon: Lexicon, page: int | None, repeated: d
     Words cut within the page are judged as wholes. The first word and a cut last word of the page's running text may go on from or to another
     page and are left to :func:`bridge`: they come back as ``first`` and ``last`` with their units. Titles and tables are paragraphs of their own,
     in ``others``, with their place (``no``) among the page's paragraphs; titles are put right, tables left as they are. Lines of digits only are
-    part of the text, but no word is cut by them. A paragraph's ``head`` is the page's first word put right, for where no cut word goes on in it."""
+    part of the text, but no word is cut by them. A paragraph's ``head`` is the page's first word put right, for where no cut word goes on in it.
+
+    ``rare`` has the words of this page, where not those of all pages are in the lexicon. Either way the same tokens meet them: whole ones, but none made of
+    a cut word's parts, which is looked up in the lexicon only."""
     label_page(units, page, repeated)
+    rare = rare or lexicon.rare
     rows: list[tuple[Unit, list[str], bool]] = []  # lines of running text: unit, tokens, first of its paragraph
     digits: set[int] = set()  # rows of digits only
     others: list[tuple[int, bool, str]] = []  # rows before a title or table, whether a title, text

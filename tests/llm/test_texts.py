@@ -353,6 +353,22 @@ def test_rare_misreadings_are_found(spark, monkeypatch, sent):
     assert (10, "misread") in got and not any(d == "misread" and i != 10 for i, d in got)
 
 
+def test_rare_words_are_the_same_however_they_are_sent(spark, monkeypatch):
+    rows = []
+    for p in range(1, 18):
+        first = {1: "the Halvorscn depot returned", 2: "the depot returned to Halv-", 17: "the depot returned to Halv-"}.get(p, "the Halvorsen depot returned")
+        last = {2: "orscn with a label and"}.get(p, "pallets with a label and")
+        rows += [(10 * p + n, "d", p, n, text, None, (0.1, 0.4 + 0.027 * n, 0.6, 0.014), None) for n, text in enumerate([first, last] if p < 17 else [first])]
+    rows.append((180, "d", 18, 0, "orscn with a label and", None, (0.1, 0.4, 0.6, 0.014), None))
+    got = []
+    for sent in (100_000, 0):
+        monkeypatch.setattr(scanning, "RARE_SENT", sent)
+        reader = scanning.Reader(spark.createDataFrame(rows, LINE), None)
+        got.append((sorted(map(tuple, reader.defects().collect())), sorted(map(str, reader.paragraphs().collect()))))
+    assert got[0] == got[1]
+    assert ("ocr_lines", 10, "misread") in got[0][0] and ("ocr_lines", 20, "hyphen") in got[0][0]
+
+
 def test_rare_words_below_the_lexicon(spark):
     rows = [(n, "d", 1, n, "Halvorsen" if n else "Halvorscn", None, None, None) for n in range(16)]
     _, _, counts = scanning.build_lexicon(scanning.units_of(spark.createDataFrame(rows, LINE), None))
