@@ -365,6 +365,32 @@ def test_many_queries_shuffle_no_pairs(spark):
     assert R.bm25_many(docs, "id", "tokens", terms.where(F.lit(False)), 5, 5).count() == 0
 
 
+def test_postings_are_made_where_their_row_is(spark):
+    from pyspark.sql import functions as F
+
+    from strandex import store
+    from strandex.operators import postings as P
+    from strandex.operators import ranking as R
+
+    made = random.Random(6)
+    texts = {i: " ".join(made.choice(["a", "b", "c", "dé", ""]) for _ in range(made.randrange(9))) for i in range(40)} | {40: None}
+    rows = spark.createDataFrame(list(texts.items()), "id bigint, body string").repartition(3)
+    postings, lengths = P.index_rows(rows, "s", "id", {"body": "body"})
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobin", "").split("MapInArrow")[0]
+    want = set()
+    for i, t in texts.items():
+        words = [w for w in (t or "").split(" ") if w]
+        want |= {("s", str(i), "body", w, tuple(k for k, x in enumerate(words) if x == w)) for w in words}
+    assert sorted((*r[:4], tuple(r[4])) for r in postings.collect()) == sorted(want)
+    laid = store.by_term(store.shaped("postings", postings), 4)
+    assert sorted((*r[:4], tuple(r[4])) for r in laid.collect()) == sorted(want)
+    assert laid.where(F.col("head") != store.head_column(F.col("term"))).count() == 0
+    terms = spark.createDataFrame([(1, "a"), (1, "dé"), (2, "b"), (2, "zz")], "query_id bigint, term string")
+    stored = R.bm25_postings(laid.select("id", "term", F.size("positions").alias("tf")), lengths.select("id", "length"), terms, 5, 5)
+    scanned = R.bm25_many(rows.select("id", F.filter(F.split("body", " "), lambda w: w != "").alias("tokens")), "id", "tokens", terms, 5, 5)
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, scanned.collect())) and stored.count() == 10
+
+
 # Trees
 
 
